@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.operators import drift, lateness, skew
+from vigil.functions.ids import canonical_uuid, uuid_bytes, with_hyphens
+from vigil.operators import drift, features, idindex, lateness, skew
+from vigil.session import work_path, written
 from vigil.sources.tables import table
 
 
@@ -66,6 +68,67 @@ def p3_lifespans(spark: SparkSession, folder: str) -> DataFrame:
     return spans.select("feed", "site", "field_name", "kind", F.col("first").cast("bigint").alias("first_seq"), F.col("last").cast("bigint").alias("last_seq"))
 
 
+DEDUPLICATED = ("alert_messages", "processed_alerts", "triaged_alerts")
+
+
+def _admitted(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
+    """The outcome of admitting the tables to a new index, in three batches each that follow the numbers of reading."""
+    messages = None
+    for name in names:
+        rows = table(spark, folder, name).select(F.lit(name).alias("ns"), uuid_bytes(canonical_uuid(F.col("alert_id"))).alias("id"), F.col("row_id").alias("row"), F.col("batch_id").alias("batch"))
+        messages = rows if messages is None else messages.unionByName(rows)
+    total = sum(table(spark, folder, name).count() for name in names)
+    index = idindex.IdIndex(spark, work_path(spark, "id-index"), idindex.prefix_bits_for(total))
+    return idindex.admit_all(index, messages.filter(F.col("id").isNotNull()))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Alert ids held by more than one row of a table."""
+    repeated = idindex.repeated_ids(_admitted(spark, folder, DEDUPLICATED))
+    return repeated.select(F.col("ns").alias("table_name"), with_hyphens(F.lower(F.hex("id"))).alias("alert_id"))
+
+
+def _once(name: str):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        kept = idindex.kept_rows(_admitted(spark, folder, (name,))).select(F.col("row").alias("row_id"))
+        rows = table(spark, folder, name).withColumn("alert_uuid", canonical_uuid(F.col("alert_id")))
+        unnamed = rows.filter(F.col("alert_uuid").isNull())
+        return rows.filter(F.col("alert_uuid").isNotNull()).join(kept, "row_id", "left_semi").unionByName(unnamed)
+
+    query.__doc__ = f"{name} with one row per alert: the first row read. Rows whose id denotes no UUID all stay."
+    return query
+
+
+def _feature_state(spark: SparkSession, folder: str) -> DataFrame:
+    """State of processed_alerts: loaded up to the middle batch, the later batches applied as signed deltas."""
+    rows = table(spark, folder, "processed_alerts")
+    own = F.concat(F.lit("row "), F.col("row_id"))
+    events = rows.select(
+        F.coalesce(canonical_uuid(F.col("alert_id")), own).alias("id"),
+        F.col("row_id").alias("seq"),
+        F.col("account_id").alias("entity"),
+        F.col("rule_name").alias("type"),
+        F.unix_micros("produced_at").alias("at_us"),
+        F.coalesce(F.col("batch_id"), F.lit(0)).alias("batch"),
+    )
+    middle = events.agg(((F.min("batch") + F.max("batch")) / 2).alias("m")).first()["m"] or 0
+    of = written(features.versions(events, F.col("batch") > middle), "versions")
+    return features.apply_deltas(features.state_of("before", of), features.signed_deltas(of), of.select("now.*"))
+
+
+def p5_features(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per account: totals, then the count and the latest time of every rule that is listed or has fired."""
+    state = written(_feature_state(spark, folder), "feature-state")
+    names = features.type_names(state, table(spark, folder, "detector_rules").select("rule_name"))
+    return features.feature_table(state, names).withColumnRenamed("entity", "account_id")
+
+
+def p5_features_long(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, a row per account and rule that has fired."""
+    state = _feature_state(spark, folder)
+    return state.select(F.col("entity").alias("account_id"), F.col("type").alias("rule_name"), "n", "latest_us")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_account_totals": p1_account_totals,
@@ -76,4 +139,10 @@ QUERIES = {
     "p3_payment_alert": _unified("payment_alert"),
     "p3_triaged_alert": _unified("triaged_alert"),
     "p3_outbox_row": _unified("outbox_row"),
+    "p4_found": p4_found,
+    "p4_alert_messages": _once("alert_messages"),
+    "p4_processed_alerts": _once("processed_alerts"),
+    "p4_triaged_alerts": _once("triaged_alerts"),
+    "p5_features": p5_features,
+    "p5_features_long": p5_features_long,
 }
