@@ -7,7 +7,7 @@ _HEX = r"regexp_replace(regexp_replace(lower(alert_id), '^\s*(urn:uuid:)?[{(]?|[
 _UUID = f"CASE WHEN regexp_full_match({_HEX}, '[0-9a-f]{{32}}') THEN {_HEX} END"
 _HYPHENS = "u[1:8] || '-' || u[9:12] || '-' || u[13:16] || '-' || u[17:20] || '-' || u[21:32]"
 
-_ACCOUNTS = """SELECT 'outbox' AS table_name, account_id, id AS alert, created_at AS at FROM outbox
+_ACCOUNTS = """SELECT 'outbox' AS table_name, account_id, id AS alert, created_at AS ts FROM outbox
 UNION ALL SELECT 'processed_alerts', account_id, alert_id, acted_at FROM processed_alerts"""
 
 _CLOCKS = """SELECT *, max(p) OVER (PARTITION BY table_name ORDER BY a RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clock FROM (
@@ -21,14 +21,14 @@ _REPEATED = " UNION ALL ".join(
     for t in ("alert_messages", "processed_alerts", "triaged_alerts")
 )
 
-_LATEST = f"""SELECT account_id, rule_name, epoch_us(produced_at) AS at FROM (
+_LATEST = f"""SELECT account_id, rule_name, epoch_us(produced_at) AS ts FROM (
  SELECT *, row_number() OVER (PARTITION BY coalesce({_UUID}, 'row ' || row_id) ORDER BY row_id DESC) AS nth FROM processed_alerts) WHERE nth = 1"""
 
 SQL = {
     "p1_found": f"""WITH r AS ({_ACCOUNTS}), n AS (SELECT table_name, account_id, count(*) AS n FROM r GROUP BY ALL),
  t AS (SELECT table_name, count(*) AS total FROM r GROUP BY ALL)
  SELECT table_name, account_id FROM n JOIN t USING (table_name) WHERE n * 100 >= total AND account_id IS NOT NULL""",
-    "p1_account_totals": f"""SELECT table_name, account_id, count(*) AS n_rows, epoch_us(min(at)) AS first_us, epoch_us(max(at)) AS last_us,
+    "p1_account_totals": f"""SELECT table_name, account_id, count(*) AS n_rows, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us,
  count(DISTINCT alert) AS n_ids FROM ({_ACCOUNTS}) GROUP BY table_name, account_id""",
     "p2_found": f"SELECT table_name, row_id, lateness FROM ({_LATE}) WHERE lateness <> 'on_time'",
     "p2_hourly_counts": f"""WITH l AS ({_LATE}), last AS (SELECT table_name, max(p) AS top, max(a) AS last_a FROM l GROUP BY ALL),
@@ -38,7 +38,7 @@ SQL = {
  CASE WHEN any_value(top) >= e + 21600000000 THEN 'frozen' WHEN any_value(top) >= e THEN 'closed' ELSE 'open' END AS state
  FROM l JOIN last USING (table_name) GROUP BY table_name, e""",
     "p4_found": _REPEATED,
-    "p5_features_long": f"SELECT account_id, rule_name, count(*) AS n, max(at) AS latest_us FROM ({_LATEST}) GROUP BY account_id, rule_name",
+    "p5_features_long": f"SELECT account_id, rule_name, count(*) AS n, max(ts) AS latest_us FROM ({_LATEST}) GROUP BY account_id, rule_name",
 }
 for _name in ("alert_messages", "processed_alerts", "triaged_alerts"):
     SQL[f"p4_{_name}"] = f"""SELECT * EXCLUDE (u, nth), {_HYPHENS} AS alert_uuid FROM (
