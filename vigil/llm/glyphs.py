@@ -22,6 +22,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vigil.session import written
 
@@ -36,7 +37,7 @@ LOOK_ALIKES = [
     ("µ", "μ"),  # micro sign
     ("‐‑", "--"),  # hyphen, non-breaking hyphen
 ]
-LINE_BREAKS = "\n\r\v\f\x85  "
+LINE_BREAKS = "\n\r\v\f\x85\u2028\u2029"
 #: Format characters that are drawn.
 _DRAWN = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 #: Without width although no format characters: grapheme joiner, Hangul fillers, Khmer inherent vowels, variation selectors.
@@ -44,6 +45,8 @@ _WIDTHLESS = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), *ra
 #: Blanks that Unicode does not class as such: tab, Hangul fillers with width, empty Braille cell. The Ogham mark is drawn.
 _BLANKS = {0x9, 0x3164, 0xFFA0, 0x2800}
 _NOT_BLANK = {0x1680}
+#: Medial and final Hangul letters, which join the letter before them by rule.
+_HANGUL_JOINED = [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]
 
 
 def is_widthless(ch: str) -> bool:
@@ -64,7 +67,7 @@ class Transducer:
         self.letters = self._checked(look_alikes)
         self.widthless: set[str] = set()
         self.base: dict[str, str] = {}
-        joined: set[str] = set()
+        joined = set(map(chr, _HANGUL_JOINED))
         for ch in map(chr, range(sys.maxunicode + 1)):
             kind = ud.category(ch)
             if kind in ("Cn", "Co", "Cs"):
@@ -150,7 +153,7 @@ def transducer() -> Transducer:
     return Transducer()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _consistent(texts: pd.Series) -> pd.Series:
     apply = transducer().apply
     return texts.map(lambda t: apply(t) if isinstance(t, str) else None)

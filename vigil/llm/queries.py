@@ -54,7 +54,7 @@ _MIX = """d AS (SELECT doc_id, source, lang, text, strlen(text) AS n_tokens, ('0
  FROM documents WHERE strlen(text) > 0 AND source IN (SELECT source FROM mix_targets)),
  a AS (SELECT source, target_share, max_repeats, sum(n_tokens)::DOUBLE AS available FROM mix_targets LEFT JOIN d USING (source) GROUP BY ALL),
  t AS (SELECT min(available * max_repeats / target_share) AS total FROM a),
- r AS (SELECT source, target_share, max_repeats, available, coalesce(least(round(target_share * total / available, 12), max_repeats), 0) AS rate FROM a, t),
+ r AS (SELECT source, target_share, max_repeats, available, CASE WHEN available > 0 THEN least(round(target_share * total / available, 12), max_repeats) ELSE 0 END AS rate FROM a, t),
  w AS (SELECT *, floor(rate)::INT AS copies, (rate - floor(rate)) * available AS wanted FROM r),
  b AS (SELECT source, bin, in_bin, sum(in_bin) OVER (PARTITION BY source ORDER BY bin) AS upto FROM (SELECT source, floor(u * 1024) AS bin, sum(n_tokens)::DOUBLE AS in_bin FROM d GROUP BY ALL)),
  h AS (SELECT source, max((bin + (wanted - (upto - in_bin)) / in_bin) / 1024) AS threshold FROM b JOIN w USING (source) WHERE upto >= wanted AND upto - in_bin < wanted GROUP BY source),
