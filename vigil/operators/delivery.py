@@ -36,7 +36,7 @@ def retry_budget(outbox: DataFrame, failed: Column, limit: int = MAX_ATTEMPTS) -
     tried = (F.col("status") == "PENDING") & (F.col("attempts") < limit)
     n = F.when(tried, F.col("attempts") + 1).otherwise(F.col("attempts"))
     status = F.when(tried & ~failed, "PUBLISHED").when((F.col("status") == "PENDING") & (n >= limit), "FAILED").otherwise(F.col("status"))
-    return outbox.withColumn("status", status).withColumn("attempts", n)
+    return outbox.withColumns({"status": status, "attempts": n})
 
 
 def next_batch(df: DataFrame, waiting: Column, order: list[str], size: int = 50) -> DataFrame:

@@ -97,7 +97,7 @@ def _coefficients(amounts: np.ndarray, first: int, cap: int) -> np.ndarray:
     return whole
 
 
-def capped_welford(events: DataFrame, cap: int, block_ms: int = 86_400_000) -> DataFrame:
+def capped_welford(events: DataFrame, cap: int, block_ms: int = 7 * 86_400_000) -> DataFrame:
     """events (account_id, event_id, ms, amount) with n, mean and m2 after each: online up to `cap` events, then decaying.
 
     Beyond the cap the mean moves by 1/cap and m2 first loses 1/cap of itself; n goes on counting. Blocks of an account are
