@@ -14,7 +14,8 @@ def running(df: DataFrame, keys: list[str], block: str, order: list[str], sums:
     """df with running sums, minima and maxima (name -> column, current row included) and previous rows (name -> columns).
 
     Rows of a key are in the order of `order`, which must not contradict `block`. keys, block and order must not be null.
-    Null values are passed over by the aggregates; the previous row is null at a key's first row.
+    Null values are passed over by the aggregates; the previous row is null at a key's first row. A new column takes the place
+    of one of the same name.
     """
     kinds = [(F.sum, sums or {}), (F.min, mins or {}), (F.max, maxs or {})]
     place = F.struct(*order)
@@ -32,7 +33,8 @@ def running(df: DataFrame, keys: list[str], block: str, order: list[str], sums:
     columns += [F.least(F.min(c).over(upto), f"__{n}").alias(n) for n, c in (mins or {}).items()]
     columns += [F.greatest(F.max(c).over(upto), f"__{n}").alias(n) for n, c in (maxs or {}).items()]
     columns += [F.coalesce(F.lag(F.struct(*cols)).over(inside), f"__{n}").alias(n) for n, cols in (previous or {}).items()]
-    return out.select(*df.columns, *columns)
+    made = {n.lower() for each in (sums, mins, maxs, previous) for n in (each or {})}
+    return out.select(*[c for c in df.columns if c.lower() not in made], *columns)
 
 
 def prior_in_window(df: DataFrame, key: str, at: str, tie: str, width: int, name: str = "prior") -> DataFrame:
