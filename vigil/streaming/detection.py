@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from vigil.model import Thresholds
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State is kept at least so long on the clock of the machine, which may run behind or ahead of the events' own.
+LEAST_TTL_MS = 120_000
 JUDGED = "event_id string, account_id string, amount double, lat double, lon double, ms bigint, produced_us bigint, velocity_prior bigint, n bigint, mean double, m2 double, prev_lat double, prev_lon double, prev_ms bigint"
 
 
@@ -26,7 +28,7 @@ class AccountState(StatefulProcessor):
         self.t = thresholds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getMapState("recent", "event_id string", "ms bigint", ttlDurationMs=2 * self.t.velocity_window_ms)
+        self.recent = handle.getMapState("recent", "event_id string", "ms bigint", ttlDurationMs=max(LEAST_TTL_MS, 2 * self.t.velocity_window_ms))
         self.stats = handle.getValueState("stats", "n bigint, mean double, m2 double", ttlDurationMs=self.t.stats_ttl_ms)
         self.place = handle.getValueState("place", "lat double, lon double, ms bigint", ttlDurationMs=self.t.geo_ttl_ms)
 
@@ -81,7 +83,7 @@ class SeenOnce(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ms bigint", ttlDurationMs=2 * self.ttl_ms)
+        self.last = handle.getValueState("last", "ms bigint", ttlDurationMs=max(LEAST_TTL_MS, 2 * self.ttl_ms))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
@@ -110,7 +112,7 @@ class TokenBucket(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", "tokens double, ms bigint", ttlDurationMs=self.ttl_ms)
+        self.bucket = handle.getValueState("bucket", "tokens double, ms bigint", ttlDurationMs=max(LEAST_TTL_MS, self.ttl_ms))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         import math
