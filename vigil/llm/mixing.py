@@ -57,12 +57,12 @@ def mix_plan(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame
 
 
 def mix(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
-    """The columns of docs with n_tokens and copy_no (from 1): a row for every use of a document."""
-    plan = small_side(mix_plan(docs, targets, seed), "mix-plan").select(F.col("source").alias("__source"), "copies", "threshold")
+    """The columns of docs with n_tokens and copy_no (from 1; both replace columns so named): a row for every use of a document."""
+    plan = small_side(mix_plan(docs, targets, seed), "mix-plan").select(F.col("source").alias("__source"), F.col("copies").alias("__copies"), F.col("threshold").alias("__threshold"))
     used = _tokens(docs, seed).join(plan, F.col("source") == F.col("__source"))
-    n = F.col("copies") + F.when(F.col("__u") < F.col("threshold"), 1).otherwise(0)
+    n = F.col("__copies") + F.when(F.col("__u") < F.col("__threshold"), 1).otherwise(0)
     copies = used.withColumn("__n", n).filter("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return copies.drop("__source", "__u", "__n", "copies", "threshold")
+    return copies.drop("__source", "__u", "__n", "__copies", "__threshold")
 
 
 def share_report(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
