@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.session import written
+
 
 def combine_by_key(df: DataFrame, keys: list[str], states: list[Column], distinct: dict[str, str] | None = None) -> DataFrame:
     """One row per key with the given algebraic aggregates and, for each entry of `distinct`, a distinct count.
@@ -33,10 +35,10 @@ def combine_by_key(df: DataFrame, keys: list[str], states: list[Column], distinc
 def heavy_keys(df: DataFrame, group: str, key: str, share: tuple[int, int] = (1, 100)) -> DataFrame:
     """(group, key) pairs that hold at least share[0]/share[1] of the rows of their group.
 
-    Every row counts, also rows with a null key, but a null key is never a result. Works on the combined counts: rows are
-    shuffled neither for the counts nor for the totals, and the totals are one row per group.
+    Every row counts, also rows with a null key, but a null key is never a result. The rows are read once: the combined
+    counts, a row per key, are kept in the shared folder, and the totals are one row per group of these.
     """
-    counts = combine_by_key(df, [group, key], [F.count(F.lit(1)).alias("__n")])
+    counts = written(combine_by_key(df, [group, key], [F.count(F.lit(1)).alias("__n")]), "key-counts")
     totals = counts.groupBy(F.col(group).alias("__group")).agg(F.sum("__n").alias("__total"))
     at_least = F.col("__n") * share[1] >= F.col("__total") * share[0]
     return counts.join(totals, F.col(group) == F.col("__group")).filter(at_least & F.col(key).isNotNull()).select(group, key)
