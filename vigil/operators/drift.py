@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.ids import canonical_uuid
-from vigil.session import written
+from vigil.session import small_side, written
 
 PRODUCER = ["feed", "site"]
 FILE = [*PRODUCER, "file_no"]
@@ -110,11 +110,6 @@ def fields(raw: DataFrame) -> DataFrame:
     return cells
 
 
-def record_ids(cells: DataFrame) -> DataFrame:
-    """(file, line_no, id) of the records that have an alert id."""
-    return cells.filter(F.col("own_id").isNotNull()).groupBy(*FILE, "line_no").agg(F.min("own_id").alias("id"))
-
-
 def file_sequence(raw: DataFrame) -> DataFrame:
     """(file, seq, last_seq): the files of each producer in the order of file_no, counted from 1. One row per file."""
     files = raw.groupBy(*FILE).agg(F.lit(1).alias("one"))
@@ -163,25 +158,31 @@ def renamed(cells: DataFrame, sequence: DataFrame, came: DataFrame, went: DataFr
 
     A and B count the shared records in which the old and the new field have a value, M those in which both have the same;
     A = B = M > 0 says that the values agree wherever there is one. M comes from an equi-join on record and value, so no
-    pair of fields is tried that has not a value in common.
+    pair of fields is tried that has not a value in common. Only files where fields went and came are looked at, and of
+    these only the values of such fields; both are picked by tables of metadata before any record is shuffled.
     """
     at = [*PRODUCER, "seq"]
     both = came.select(*at).distinct().join(went.select(*at).distinct(), at, "left_semi")
-    ids = record_ids(cells).join(sequence.select(*FILE, "seq"), FILE)
-    keyed = [*FILE, "line_no"]
-    shared = (
-        ids.select(*at, "id").distinct().join(both, at, "left_semi").join(ids.select(*PRODUCER, (F.col("seq") + 1).alias("seq"), "id").distinct(), [*at, "id"], "left_semi")
-    )
-    values = cells.filter(F.col("kind").isNotNull()).select(*keyed, "field_name", "h1", "h2")
+
+    def files(shift: int) -> DataFrame:
+        """The files on one side of these changes, with the seq of the later file."""
+        return sequence.select(*FILE, (F.col("seq") + shift).alias("seq")).join(both, at, "left_semi")
+
+    def ids(shift: int) -> DataFrame:
+        own = cells.filter(F.col("own_id").isNotNull()).join(small_side(files(shift), "changed-files"), FILE)
+        return own.groupBy(*FILE, "line_no", "seq").agg(F.min("own_id").alias("id"))
 
     def side(change: DataFrame, shift: int, name: str) -> DataFrame:
-        moved = ids.withColumn("seq", F.col("seq") + shift).join(shared, [*at, "id"], "left_semi")
-        files = sequence.select(*FILE, (F.col("seq") + shift).alias("seq"))
-        wanted = values.join(files.join(change.join(both, at, "left_semi"), at).drop("seq"), [*FILE, "field_name"], "left_semi")
-        found = wanted.join(moved.select(*keyed, "seq", "id"), keyed)
+        """(at, id, name, h1, h2): the values of the changed fields by record."""
+        picked = small_side(files(shift).join(change, at), "changed-fields")
+        values = cells.filter(F.col("kind").isNotNull()).join(picked, [*FILE, "field_name"])
+        found = values.join(records_of[shift], [*FILE, "line_no", "seq"])
         return found.select(*at, "id", F.col("field_name").alias(name), "h1", "h2").distinct()
 
-    old, new = side(went, 1, "field_name"), side(came, 0, "new_name")
+    records_of = {shift: written(ids(shift), "record-ids") for shift in (0, 1)}
+    shared = records_of[0].select(*at, "id").distinct().join(records_of[1].select(*at, "id").distinct(), [*at, "id"])
+    records_of = {shift: records.join(shared, [*at, "id"], "left_semi") for shift, records in records_of.items()}
+    old, new = written(side(went, 1, "field_name"), "old-values"), written(side(came, 0, "new_name"), "new-values")
     old_n = old.groupBy(*at, "field_name").agg(F.count(F.lit(1)).alias("a"))
     new_n = new.groupBy(*at, "new_name").agg(F.count(F.lit(1)).alias("b"))
     matches = old.join(new, [*at, "id", "h1", "h2"]).groupBy(*at, "field_name", "new_name").agg(F.count(F.lit(1)).alias("m"))
@@ -195,7 +196,7 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     change_kind is renamed, removed, added or retyped; new_name is '' unless renamed. No lines give no rows.
     """
     cells = written(fields(raw), "cells")
-    sequence = written(file_sequence(raw), "file-sequence")
+    sequence = small_side(file_sequence(raw), "file-sequence")
     footer = written(footers(cells, sequence), "footers")
     spans = written(lifespans(footer), "lifespans")
     came, went = _ends(spans.filter(F.col("kind") == "").drop("kind").withColumn("kind", F.lit("")))
