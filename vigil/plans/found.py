@@ -102,9 +102,9 @@ def _once(name: str):
 def _feature_state(spark: SparkSession, folder: str) -> DataFrame:
     """State of processed_alerts: loaded up to the middle batch, the later batches applied as signed deltas."""
     rows = table(spark, folder, "processed_alerts")
-    own = F.concat(F.lit("row "), F.col("row_id"))
+    own = F.encode(F.concat(F.lit("row "), F.col("row_id")), "UTF-8")
     events = rows.select(
-        F.coalesce(canonical_uuid(F.col("alert_id")), own).alias("id"),
+        F.coalesce(uuid_bytes(canonical_uuid(F.col("alert_id"))), own).alias("id"),
         F.col("row_id").alias("seq"),
         F.col("account_id").alias("entity"),
         F.col("rule_name").alias("type"),
