@@ -93,6 +93,13 @@ def test_precedence_and_one_alert_per_event(spark):
     assert got["2"] == ("velocity", "2 events in window (max=2)") and got["1"][0] == "geo" and got["4"][0] == "geo" and len(got) == 3
 
 
+def test_a_rule_of_ones_own_comes_last(spark):
+    df = events(spark, [("a", 1, 0, 0, 0), ("a", 99, 50, 50, 1), ("b", 99, 0, 0, 0)])
+    large = ("large", F.col("amount") > 50, F.format_string("amount=%.1f", "amount"))
+    got = {r["event_id"]: (r["rule_name"], r["reason"]) for r in D.alerts(D.judge(df, Thresholds()), Thresholds(), more=[large]).collect()}
+    assert got["1"][0] == "geo" and got["2"] == ("large", "amount=99.0") and len(got) == 2
+
+
 def test_idle_epochs(spark):
     df = events(spark, [("a", i, 0, 0, t) for i, t in enumerate((0, 10, 111, 212, 212 + 86_400_000))])
     assert [r["epoch"] for r in D.idle_epochs(df, 100).orderBy("ms").collect()] == [0, 0, 1, 2, 3]

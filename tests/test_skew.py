@@ -21,3 +21,15 @@ def test_combine_distinct_with_nulls_and_repeated_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("__n", F.lit(1)).withColumn("n_rows", F.lit("clash"))
     out = skew.combine_by_key(df, ["g", "k"], [F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("total")], {"values": "v"})
     assert {tuple(r) for r in out.collect()} == {("a", "k", 3, 7, 1), ("a", None, 2, 2, 1)}
+
+
+def test_release_removes_what_was_written(spark):
+    from vigil.session import release, written
+
+    kept = written(spark.range(3), "some")
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    import os
+
+    assert kept.count() == 3 and os.path.isdir(path)
+    release(spark)
+    assert not os.path.isdir(path)

@@ -106,12 +106,20 @@ def alert_reason(t: Thresholds) -> Column:
     return out
 
 
-def alerts(judged: DataFrame, t: Thresholds, exempt: Column | None = None) -> DataFrame:
-    """At most one alert per event, of the first rule that fires (velocity, z-score, geo), under a deterministic id."""
-    rule = F.when(velocity_fires(t), "velocity").when(zscore_fires(t), "zscore").when(geo_fires(t, exempt), "geo")
+def alerts(judged: DataFrame, t: Thresholds, exempt: Column | None = None, more: list[tuple[str, Column, Column]] | None = None) -> DataFrame:
+    """At most one alert per event, of the first rule that fires (velocity, z-score, geo), under a deterministic id.
+
+    `more` adds rules after these: (name, whether it fires, reason), as pure expressions over the columns of judged.
+    """
+    own = [("velocity", velocity_fires(t)), ("zscore", zscore_fires(t)), ("geo", geo_fires(t, exempt))]
+    rule, reason = F.lit(None).cast("string"), alert_reason(t)
+    for name, fires, *told in reversed([*own, *(more or [])]):
+        rule = F.when(fires, name).otherwise(rule)
+        if told:
+            reason = F.when(F.col("rule_name") == name, told[0]).otherwise(reason)
     fired = judged.withColumn("rule_name", rule).filter(F.col("rule_name").isNotNull())
     ident = uuid5(ALERT_NAMESPACE, F.concat_ws(":", "event_id", "rule_name"))
-    return fired.select(ident.alias("alert_id"), "event_id", "account_id", "rule_name", alert_reason(t).alias("reason"), "produced_us")
+    return fired.select(ident.alias("alert_id"), "event_id", "account_id", "rule_name", reason.alias("reason"), "produced_us")
 
 
 def judge(events: DataFrame, t: Thresholds) -> DataFrame:

@@ -40,6 +40,8 @@ SQL = {
     "p4_found": _REPEATED,
     "p5_features_long": f"SELECT account_id, rule_name, count(*) AS n, max(ts) AS latest_us FROM ({_LATEST}) GROUP BY account_id, rule_name",
 }
-for _name in ("alert_messages", "processed_alerts", "triaged_alerts"):
-    SQL[f"p4_{_name}"] = f"""SELECT * EXCLUDE (u, nth), {_HYPHENS} AS alert_uuid FROM (
+_TIMES = {"alert_messages": ("received_at", "produced_at"), "processed_alerts": ("produced_at", "acted_at"), "triaged_alerts": ("created_at", "triaged_at")}
+for _name, _times in _TIMES.items():
+    _utc = ", ".join(f"timezone('UTC', {t}) AS {t}" for t in _times)
+    SQL[f"p4_{_name}"] = f"""SELECT * EXCLUDE (u, nth) REPLACE ({_utc}), {_HYPHENS} AS alert_uuid FROM (
  SELECT *, row_number() OVER (PARTITION BY coalesce(u, 'row ' || row_id) ORDER BY row_id) AS nth FROM (SELECT *, {_UUID} AS u FROM {_name})) WHERE nth = 1"""

@@ -175,8 +175,8 @@ def _processed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def processed_insert(spark: SparkSession, folder: str) -> DataFrame:
-    """What inserting alert_messages into the odd batches of processed_alerts would add."""
-    there = _processed(spark, folder).filter("batch_id % 2 = 1").filter(F.col("alert").isNotNull())
+    """What inserting alert_messages into processed_alerts would add."""
+    there = _processed(spark, folder).filter(F.col("alert").isNotNull())
     return delivery.insert_if_absent(_messages(spark, folder), there.select("alert").distinct(), "alert", "row_id")
 
 

@@ -77,7 +77,7 @@ SQL = {
  (CASE WHEN r.tokens >= 1 THEN r.tokens - 1 ELSE r.tokens END) + greatest(0, o.ms - r.ms) / 1000.0::DOUBLE * 2) END FROM r JOIN o ON o.account_id = r.account_id AND o.i = r.i + 1)
  SELECT event_id, tokens >= 1 AS allowed, CASE WHEN tokens >= 1 THEN 0 ELSE ceil((1 - tokens) / 2 * 1000) END::BIGINT AS wait_ms FROM r""",
     "processed_insert": f"""WITH {_M} SELECT {_HYPHENS.format(u='u')} AS alert, min(row_id) AS row_id FROM m WHERE u IS NOT NULL
- AND u NOT IN (SELECT u FROM (SELECT {_HEX} AS u FROM processed_alerts WHERE batch_id % 2 = 1) WHERE u IS NOT NULL) GROUP BY u""",
+ AND u NOT IN (SELECT u FROM (SELECT {_HEX} AS u FROM processed_alerts) WHERE u IS NOT NULL) GROUP BY u""",
     "actioned_counts": f"""WITH {_M} SELECT rule_name, CASE WHEN nth = 1 THEN 'actioned' ELSE 'duplicate' END AS outcome, count(*) AS n
  FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY row_id) AS nth FROM m WHERE u IS NOT NULL) GROUP BY ALL""",
     "outbox_stats": """SELECT count(*) FILTER (status = 'PENDING') AS pending, epoch_us(min(created_at) FILTER (status = 'PENDING')) AS oldest_us,

@@ -48,9 +48,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; release() removes what is there."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables written below the shared folder by this process. Results that were not stored yet cannot be read after."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        path = hadoop(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
