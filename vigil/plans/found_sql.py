@@ -24,7 +24,33 @@ _REPEATED = " UNION ALL ".join(
 _LATEST = f"""SELECT account_id, rule_name, epoch_us(produced_at) AS ts FROM (
  SELECT *, row_number() OVER (PARTITION BY coalesce({_UUID}, 'row ' || row_id) ORDER BY row_id DESC) AS nth FROM processed_alerts) WHERE nth = 1"""
 
+_CELLS = """b AS (SELECT feed, site, file_no, line_no, body::JSON AS j FROM raw_messages WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
+ c AS (SELECT feed, site, file_no, line_no, key AS name, value AS v, CASE WHEN type = 'VARCHAR' THEN 'text' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'ARRAY' THEN 'list'
+ WHEN type = 'OBJECT' THEN 'object' WHEN type = 'NULL' THEN NULL ELSE 'number' END AS kind FROM (SELECT b.*, unnest(json_keys(j)) AS key, json_extract(j, '$."' || unnest(json_keys(j)) || '"') AS value,
+ json_type(j, '$."' || unnest(json_keys(j)) || '"') AS type FROM b)),
+ q AS (SELECT feed, site, file_no, row_number() OVER (PARTITION BY feed, site ORDER BY file_no) AS seq, count(*) OVER (PARTITION BY feed, site) AS last_seq
+ FROM (SELECT DISTINCT feed, site, file_no FROM raw_messages))"""
+_CHANGES = f"""WITH {_CELLS},
+ f AS (SELECT feed, site, seq, name, list_sort(list(DISTINCT kind) FILTER (kind IS NOT NULL)) AS kinds FROM c JOIN q USING (feed, site, file_no) GROUP BY ALL),
+ went AS (SELECT feed, site, x.seq + 1 AS seq, name FROM f x JOIN q USING (feed, site, seq) WHERE seq < last_seq AND NOT EXISTS (SELECT 1 FROM f y WHERE (y.feed, y.site, y.seq, y.name) = (x.feed, x.site, x.seq + 1, x.name))),
+ came AS (SELECT feed, site, seq, name FROM f x WHERE seq > 1 AND NOT EXISTS (SELECT 1 FROM f y WHERE (y.feed, y.site, y.seq, y.name) = (x.feed, x.site, x.seq - 1, x.name))),
+ i AS (SELECT feed, site, seq, line_no, j, coalesce(j->>'$.alertId', j->>'$.alertID', j->>'$.AlertId', j->>'$.alert_id', j->>'$.id', j->>'$.ID', j->>'$.outbox_id') AS id FROM b JOIN q USING (feed, site, file_no)),
+ r AS (SELECT went.feed, went.site, went.seq, went.name, came.name AS new_name FROM went JOIN came USING (feed, site, seq)
+ JOIN i x ON (x.feed, x.site, x.seq) = (went.feed, went.site, went.seq - 1) JOIN i y ON (y.feed, y.site, y.seq, y.id) = (went.feed, went.site, went.seq, x.id)
+ GROUP BY ALL HAVING count(coalesce(nullif(x.j->('$."' || went.name || '"'), 'null'), nullif(y.j->('$."' || came.name || '"'), 'null'))) > 0
+ AND count(*) FILTER (nullif(x.j->('$."' || went.name || '"'), 'null') IS DISTINCT FROM nullif(y.j->('$."' || came.name || '"'), 'null')) = 0),
+ a AS (SELECT feed, site, seq, 'renamed' AS change_kind, name, new_name FROM r
+ UNION ALL SELECT feed, site, seq, 'removed', name, '' FROM went WHERE (feed, site, seq, name) NOT IN (SELECT (feed, site, seq, name) FROM r)
+ UNION ALL SELECT feed, site, seq, 'added', name, '' FROM came WHERE (feed, site, seq, name) NOT IN (SELECT (feed, site, seq, new_name) FROM r)
+ UNION ALL SELECT x.feed, x.site, x.seq, 'retyped', x.name, '' FROM f x JOIN f y ON (y.feed, y.site, y.seq, y.name) = (x.feed, x.site, x.seq - 1, x.name) WHERE len(x.kinds) > 0 AND len(y.kinds) > 0 AND x.kinds <> y.kinds)
+ SELECT feed, site, file_no, change_kind, name AS field_name, new_name FROM a JOIN q USING (feed, site, seq)"""
+_SPANS = f"""WITH {_CELLS}, k AS (SELECT DISTINCT feed, site, seq, name, kind FROM c JOIN q USING (feed, site, file_no) WHERE kind IS NOT NULL),
+ g AS (SELECT *, seq - row_number() OVER (PARTITION BY feed, site, name, kind ORDER BY seq) AS island FROM k)
+ SELECT feed, site, name AS field_name, kind, min(seq) AS first_seq, max(seq) AS last_seq FROM g GROUP BY feed, site, name, kind, island"""
+
 SQL = {
+    "p3_found": _CHANGES,
+    "p3_lifespans": _SPANS,
     "p1_found": f"""WITH r AS ({_ACCOUNTS}), n AS (SELECT table_name, account_id, count(*) AS n FROM r GROUP BY ALL),
  t AS (SELECT table_name, count(*) AS total FROM r GROUP BY ALL)
  SELECT table_name, account_id FROM n JOIN t USING (table_name) WHERE n * 100 >= total AND account_id IS NOT NULL""",
