@@ -161,30 +161,22 @@ def renamed(cells: DataFrame, sequence: DataFrame, came: DataFrame, went: DataFr
     pair of fields is tried that has not a value in common. Only files where fields went and came are looked at, and of
     these only the values of such fields; both are picked by tables of metadata before any record is shuffled.
     """
-    at = [*PRODUCER, "seq"]
-    both = came.select(*at).distinct().join(went.select(*at).distinct(), at, "left_semi")
-
-    def files(shift: int) -> DataFrame:
-        """The files on one side of these changes, with the seq of the later file."""
-        return sequence.select(*FILE, (F.col("seq") + shift).alias("seq")).join(both, at, "left_semi")
-
-    def ids(shift: int) -> DataFrame:
-        own = cells.filter(F.col("own_id").isNotNull()).join(small_side(files(shift), "changed-files"), FILE)
-        return own.groupBy(*FILE, "line_no", "seq").agg(F.min("own_id").alias("id"))
-
-    def side(change: DataFrame, shift: int, name: str) -> DataFrame:
-        """(at, id, name, h1, h2): the values of the changed fields by record."""
-        picked = small_side(files(shift).join(change, at), "changed-fields")
-        values = cells.filter(F.col("kind").isNotNull()).join(picked, [*FILE, "field_name"])
-        found = values.join(records_of[shift], [*FILE, "line_no", "seq"])
-        return found.select(*at, "id", F.col("field_name").alias(name), "h1", "h2").distinct()
-
-    records_of = {shift: written(ids(shift), "record-ids") for shift in (0, 1)}
-    shared = records_of[0].select(*at, "id").distinct().join(records_of[1].select(*at, "id").distinct(), [*at, "id"])
-    records_of = {shift: records.join(shared, [*at, "id"], "left_semi") for shift, records in records_of.items()}
-    old, new = written(side(went, 1, "field_name"), "old-values"), written(side(came, 0, "new_name"), "new-values")
-    old_n = old.groupBy(*at, "field_name").agg(F.count(F.lit(1)).alias("a"))
-    new_n = new.groupBy(*at, "new_name").agg(F.count(F.lit(1)).alias("b"))
+    at, role = [*PRODUCER, "seq"], lambda name: F.lit(name).alias("role")
+    turns = came.select(*at).distinct().join(went.select(*at).distinct(), at, "left_semi")
+    of = lambda shift: sequence.select(*FILE, (F.col("seq") + shift).alias("seq"))
+    files = of(1).select("*", role("old")).unionByName(of(0).select("*", role("new"))).join(turns, at, "left_semi")
+    files = small_side(files, "changed-files")
+    changed = went.select(*at, "field_name", role("old")).unionByName(came.select(*at, "field_name", role("new")))
+    picked = small_side(files.join(changed, [*at, "role"]), "changed-fields")
+    record = [*FILE, "line_no", "seq", "role"]
+    ids = written(cells.filter(F.col("own_id").isNotNull()).join(files, FILE).groupBy(*record).agg(F.min("own_id").alias("id")), "record-ids")
+    shared = ids.groupBy(*at, "id").agg(F.min("role").alias("lo"), F.max("role").alias("hi")).filter("lo != hi").select(*at, "id")
+    values = cells.filter(F.col("kind").isNotNull()).join(picked, [*FILE, "field_name"]).join(ids.join(shared, [*at, "id"], "left_semi"), record)
+    values = written(values.select(*at, "id", "role", "field_name", "h1", "h2").distinct(), "changed-values")
+    counts = values.groupBy(*at, "role", "field_name").agg(F.count(F.lit(1)).alias("n"))
+    old, new = values.filter("role = 'old'").drop("role"), values.filter("role = 'new'").drop("role").withColumnRenamed("field_name", "new_name")
+    old_n = counts.filter("role = 'old'").select(*at, "field_name", F.col("n").alias("a"))
+    new_n = counts.filter("role = 'new'").select(*at, F.col("field_name").alias("new_name"), F.col("n").alias("b"))
     matches = old.join(new, [*at, "id", "h1", "h2"]).groupBy(*at, "field_name", "new_name").agg(F.count(F.lit(1)).alias("m"))
     agree = matches.join(old_n, [*at, "field_name"]).join(new_n, [*at, "new_name"])
     return agree.filter((F.col("a") == F.col("m")) & (F.col("b") == F.col("m"))).select(*at, "field_name", "new_name")
