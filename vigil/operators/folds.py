@@ -86,18 +86,14 @@ def token_bucket(events: DataFrame, ttl_ms: int) -> DataFrame:
     return sorted_fold(cut, ["account_id", "__session"], ["ms", "arrival"], list, step, ["ms", "rate"], "allowed boolean, wait_ms bigint").drop("__session")
 
 
-def _coefficients(amounts: np.ndarray, first: int, cap: int) -> np.ndarray:
-    """The linear map of (1, mean, mean squared, m2) by a run of amounts of which the first is the account's number `first`."""
-    whole = np.eye(4)
-    for n, x in enumerate(amounts, first):
-        a, keep = 1.0 / min(n, cap), 1.0 - 1.0 / cap if n > cap else 1.0
-        b = 1 - a
-        step = np.array([[1, 0, 0, 0], [a * x, b, 0, 0], [a * a * x * x, 2 * a * b * x, b * b, 0], [b * x * x, -2 * b * x, b, keep]])
-        whole = step @ whole
-    return whole
-
-
-def capped_welford(events: DataFrame, cap: int, block_ms: int = 7 * 86_400_000) -> DataFrame:
+def _step_map(x: float, n: int, cap: int) -> np.ndarray:
+    """The linear map of (1, mean, mean squared, m2) by the amount x, an account's number n."""
+    a, keep = 1.0 / min(n, cap), 1.0 - 1.0 / cap if n > cap else 1.0
+    b = 1 - a
+    return np.array([[1, 0, 0, 0], [a * x, b, 0, 0], [a * a * x * x, 2 * a * b * x, b * b, 0], [b * x * x, -2 * b * x, b, keep]])
+
+
+def capped_welford(events: DataFrame, cap: int, block_ms: int = 86_400_000) -> DataFrame:
     """events (account_id, event_id, ms, amount) with n, mean and m2 after each: online up to `cap` events, then decaying.
 
     Beyond the cap the mean moves by 1/cap and m2 first loses 1/cap of itself; n goes on counting. Blocks of an account are
@@ -109,13 +105,25 @@ def capped_welford(events: DataFrame, cap: int, block_ms: int = 7 * 86_400_000)
     before = F.coalesce(F.sum("__c").over(Window.partitionBy("account_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = blocked.join(counts.select("account_id", "__block", before.alias("__before")), ["account_id", "__block"])
 
-    def to_map(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ms", "event_id"])
-        found = _coefficients(rows["amount"].to_numpy(float), int(rows["__before"].iloc[0]) + 1, cap)
-        return pd.DataFrame([[*key, found.ravel().tolist()]], columns=["account_id", "__block", "__map"])
-
     account = dict(events.dtypes)["account_id"]
-    maps = placed.groupBy("account_id", "__block").applyInPandas(to_map, f"account_id {account}, __block bigint, __map array<double>")
+
+    def to_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, whole, n, names = None, None, 0, ["account_id", "__block", "__map"]
+        for batch in batches:
+            done = []
+            for who, block, x, before_n in zip(batch["account_id"], batch["__block"], batch["amount"], batch["__before"]):
+                if (who, block) != key:
+                    if key is not None:
+                        done.append([*key, whole.ravel().tolist()])
+                    key, whole, n = (who, block), np.eye(4), int(before_n)
+                n += 1
+                whole = _step_map(float(x), n, cap) @ whole
+            yield pd.DataFrame(done, columns=names)
+        if key is not None:
+            yield pd.DataFrame([[*key, whole.ravel().tolist()]], columns=names)
+
+    ordered = placed.select("account_id", "__block", "ms", "event_id", "amount", "__before").repartition("account_id", "__block").sortWithinPartitions("account_id", "__block", "ms", "event_id")
+    maps = ordered.mapInPandas(to_maps, f"account_id {account}, __block bigint, __map array<double>")
 
     def enter(state: list, row: tuple) -> tuple:
         mean, m2 = state[1] if len(state) > 1 else 0.0, state[3] if len(state) > 1 else 0.0
