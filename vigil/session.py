@@ -21,6 +21,8 @@ def build_session(app: str = "vigil", master: str | None = None, cores: int = 8)
     conf = {
         "spark.sql.shuffle.partitions": str(cores),
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",  # small local data, all cores
+        "spark.sql.files.maxPartitionBytes": "4m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
