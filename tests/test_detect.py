@@ -100,6 +100,29 @@ def test_a_rule_of_ones_own_comes_last(spark):
     assert got["1"][0] == "geo" and got["2"] == ("large", "amount=99.0") and len(got) == 2
 
 
+def test_hot_account_far_above_the_cap_equals_the_recurrence(spark, tmp_path):
+    from vigil.plans.reference import QUERIES, T
+
+    r, n, mean, m2, want = random.Random(12), 0, 0.0, 0.0, {}
+    amounts = [r.gauss(1000, 50) if i < 15_000 else 1000.0 + (30 if i % 1000 == 999 else r.gauss(0, 2)) for i in range(60_000)]
+    for i, x in enumerate(amounts):
+        n += 1
+        d = x - mean
+        mean += d / min(n, T.zscore_cap)
+        m2 = (m2 - m2 / T.zscore_cap if n > T.zscore_cap else m2) + d * (x - mean)
+        z = abs(x - mean) / (m2 / min(n, T.zscore_cap)) ** 0.5 if m2 else 0
+        if n >= T.zscore_min_count and z > T.zscore_threshold:
+            want[i] = z
+    ids = spark.createDataFrame(list(enumerate(amounts)), "event_id bigint, value double")
+    ids.selectExpr("event_id", "7 AS user_id", "value", "timestamp_millis(1700000000000 + event_id * 40000) AS ts", "'{\"k\": 1}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    got = {int(x["event_id"]): x["z"] for x in QUERIES["zscore_alerts"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - z) < 1e-3 for i, z in want.items())
+    assert set(range(50_999, 60_000, 1000)) <= set(want)  # the first regime has decayed by then
+    assert {int(x["event_id"]) for x in QUERIES["alert_reasons"](spark, str(tmp_path)).filter("rule_name = 'zscore'").collect()} <= set(want)
+    judged = D.judge(events(spark, [("a", x, 0, 0, i * 40_000) for i, x in enumerate(amounts)]), Thresholds())
+    assert {int(x["event_id"]) for x in judged.filter(D.zscore_fires(Thresholds())).collect()} == set(want)
+
+
 def test_idle_epochs(spark):
     df = events(spark, [("a", i, 0, 0, t) for i, t in enumerate((0, 10, 111, 212, 212 + 86_400_000))])
     assert [r["epoch"] for r in D.idle_epochs(df, 100).orderBy("ms").collect()] == [0, 0, 1, 2, 3]

@@ -63,6 +63,15 @@ def test_capped_welford_bound_and_blocks(spark):
             assert abs(row["mean"] - mean) < 1e-9 and abs(row["m2"] - m2) < 1e-6
 
 
+def test_capped_welford_with_equal_and_with_large_amounts(spark):
+    flat = make(spark, [(f"{i:03}", "a", i * 1000, 0.1, None) for i in range(100)])
+    rows = folds.capped_welford(flat, 20, 7_000).collect()
+    assert all(r["m2"] == 0 and r["rate"] is None for r in rows) and len(rows) == 100
+    large = make(spark, [(f"{i:03}", "a", i * 1000, 1e9 + i % 2 / 10, 2**60 + 1) for i in range(400)])
+    last = folds.capped_welford(large, 50, 7_000).orderBy("n").collect()[-1]
+    assert abs(last["m2"] / 50 - 0.0025) < 1e-4 and last["rate"] == 2**60 + 1
+
+
 def test_empty(spark):
     empty = make(spark, [])
     assert folds.dedup_ttl(empty, 1).collect() == folds.token_bucket(empty, 1).collect() == folds.capped_welford(empty, 5).collect() == []

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vigil.functions.geo import haversine_km, speed_kmh
 from vigil.functions.ids import uuid5
 from vigil.model import ALERT_NAMESPACE, Thresholds
+from vigil.operators.folds import capped_welford
 from vigil.operators.running import prior_in_window, running
 
 #: Length of the blocks into which an account's events are cut.
@@ -54,7 +55,10 @@ def movement(events: DataFrame, ttl_ms: int, block_ms: int = BLOCK_MS) -> DataFr
 
 
 def zscore(n: Column, mean: Column, m2: Column, x: Column, cap: int) -> Column:
-    """|x - mean| over the population standard deviation with divisor min(n, cap); null where that deviation is 0."""
+    """|x - mean| over the population standard deviation with divisor min(n, cap); null where that deviation is 0.
+
+    mean and m2 must be those of capped_welford with the same cap.
+    """
     deviation = F.sqrt(m2 / F.least(n, F.lit(cap)))
     return F.when(deviation > 0, F.abs(x - mean) / deviation)
 
@@ -124,4 +128,4 @@ def alerts(judged: DataFrame, t: Thresholds, exempt: Column | None = None, more:
 
 def judge(events: DataFrame, t: Thresholds) -> DataFrame:
     """events with all that the rules look at. Every event enters all three states, whichever rule fires."""
-    return movement(statistics(velocity(events, t.velocity_window_ms)), t.geo_ttl_ms)
+    return movement(capped_welford(velocity(events, t.velocity_window_ms), t.zscore_cap), t.geo_ttl_ms)

@@ -11,32 +11,45 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from vigil.operators.running import running
 
 
+def _placed_together(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with each key's rows in one partition, in the order of `order`.
+
+    By a hash of the keys: a repartition by columns that a join has just placed is left out by Spark, and when the join then
+    becomes a broadcast while it runs, a key's rows are in several partitions.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], list], step: Callable[[list, tuple], tuple], inputs: list[str], outputs: str) -> DataFrame:
     """df with the columns `outputs` that step(state, inputs of a row) returns, in the order of `order` within a key.
 
     The state, a list that step may change, begins anew with each key. Rows are partitioned and sorted by Spark, which spills.
+    The columns of df go through as they are.
     """
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(outputs).fields])
-    names = [f.name for f in StructType.fromDDL(outputs).fields]
+    made = StructType.fromDDL(outputs)
+    schema, added = StructType([*df.schema.fields, *made.fields]), to_arrow_schema(made)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
             rows = []
-            for k, values in zip(zip(*[batch[c] for c in keys]), zip(*[batch[c] for c in inputs])):
+            for k, values in zip(zip(*[batch.column(c).to_pylist() for c in keys]), zip(*[batch.column(c).to_pylist() for c in inputs])):
                 if state is None or k != key:
                     key, state = k, start()
                 rows.append(step(state, values))
-            yield pd.concat([batch, pd.DataFrame(rows, columns=names, index=batch.index)], axis=1)
+            columns = [pa.array([row[i] for row in rows], f.type) for i, f in enumerate(added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *added.names])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(fold, schema)
+    return _placed_together(df, keys, order).mapInArrow(fold, schema)
 
 
 def _sessions(df: DataFrame, key: str, gap_ms: int, block_ms: int = 86_400_000) -> DataFrame:
@@ -93,45 +106,50 @@ def _step_map(x: float, n: int, cap: int) -> np.ndarray:
     return np.array([[1, 0, 0, 0], [a * x, b, 0, 0], [a * a * x * x, 2 * a * b * x, b * b, 0], [b * x * x, -2 * b * x, b, keep]])
 
 
-def capped_welford(events: DataFrame, cap: int, block_ms: int = 86_400_000) -> DataFrame:
-    """events (account_id, event_id, ms, amount) with n, mean and m2 after each: online up to `cap` events, then decaying.
+def capped_welford(events: DataFrame, cap: int, block_ms: int = 86_400_000, keys: tuple[str, ...] = ("account_id",)) -> DataFrame:
+    """events (keys, event_id, ms, amount) with n, mean and m2 after each: online up to `cap` events, then decaying.
 
     Beyond the cap the mean moves by 1/cap and m2 first loses 1/cap of itself; n goes on counting. Blocks of an account are
     folded side by side: (1, mean, mean^2, m2) changes linearly with each amount, so a block is one 4 x 4 map. The maps are
-    applied in order, a row per block, and give each block the state with which it starts.
+    applied in order, a row per block, and give each block the state with which it starts. A map counts amounts from its
+    block's first one, so that a large mean does not swallow a small deviation, and equal amounts have none.
     """
+    events = events.drop(*[c for c in events.columns if c.lower() in ("n", "mean", "m2")])
+    at = [*keys, "__block"]
     blocked = events.withColumn("__block", F.floor(F.col("ms") / block_ms).cast("bigint"))
-    counts = blocked.groupBy("account_id", "__block").agg(F.count(F.lit(1)).alias("__c"))
-    before = F.coalesce(F.sum("__c").over(Window.partitionBy("account_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = blocked.join(counts.select("account_id", "__block", before.alias("__before")), ["account_id", "__block"])
+    counts = blocked.groupBy(*at).agg(F.count(F.lit(1)).alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocked.join(counts.select(*at, before.alias("__before")), at)
 
-    account = dict(events.dtypes)["account_id"]
+    kinds = dict(blocked.dtypes)
 
     def to_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, whole, n, names = None, None, 0, ["account_id", "__block", "__map"]
+        key, whole, n, first, names = None, None, 0, 0.0, [*at, "__first", "__map"]
         for batch in batches:
             done = []
-            for who, block, x, before_n in zip(batch["account_id"], batch["__block"], batch["amount"], batch["__before"]):
-                if (who, block) != key:
+            for here, x, before_n in zip(zip(*[batch[c] for c in at]), batch["amount"], batch["__before"]):
+                if here != key:
                     if key is not None:
-                        done.append([*key, whole.ravel().tolist()])
-                    key, whole, n = (who, block), np.eye(4), int(before_n)
+                        done.append([*key, first, whole.ravel().tolist()])
+                    key, whole, n, first = here, np.eye(4), int(before_n), float(x)
                 n += 1
-                whole = _step_map(float(x), n, cap) @ whole
+                whole = _step_map(float(x) - first, n, cap) @ whole
             yield pd.DataFrame(done, columns=names)
         if key is not None:
-            yield pd.DataFrame([[*key, whole.ravel().tolist()]], columns=names)
+            yield pd.DataFrame([[*key, first, whole.ravel().tolist()]], columns=names)
 
-    ordered = placed.select("account_id", "__block", "ms", "event_id", "amount", "__before").repartition("account_id", "__block").sortWithinPartitions("account_id", "__block", "ms", "event_id")
-    maps = ordered.mapInPandas(to_maps, f"account_id {account}, __block bigint, __map array<double>")
+    ordered = _placed_together(placed.select(*at, "ms", "event_id", "amount", "__before"), at, ["ms", "event_id"])
+    maps = ordered.mapInPandas(to_maps, ", ".join([*[f"`{c}` {kinds[c]}" for c in at], "__first double, __map array<double>"]))
 
     def enter(state: list, row: tuple) -> tuple:
-        mean, m2 = state[1] if len(state) > 1 else 0.0, state[3] if len(state) > 1 else 0.0
-        vector = np.array(state if len(state) > 1 else [1.0, 0.0, 0.0, 0.0])
-        state[:] = (np.array(row[0]).reshape(4, 4) @ vector).tolist()
-        return float(mean), float(m2)
+        first, whole = row
+        mean, m2 = state or (0.0, 0.0)
+        apart = mean - first if state else 0.0
+        after = np.array(whole).reshape(4, 4) @ np.array([1.0, apart, apart * apart, m2])
+        state[:] = [first + float(after[1]), max(0.0, float(after[3]))]
+        return mean, m2
 
-    entries = sorted_fold(maps, ["account_id"], ["__block"], list, enter, ["__map"], "__mean double, __m2 double").drop("__map")
+    entries = sorted_fold(maps, list(keys), ["__block"], list, enter, ["__first", "__map"], "__mean double, __m2 double").drop("__first", "__map")
 
     def step(state: list, row: tuple) -> tuple:
         x, before_n, mean0, m20 = row
@@ -145,6 +163,6 @@ def capped_welford(events: DataFrame, cap: int, block_ms: int = 86_400_000) -> D
         state[:] = [n, mean, m2]
         return n, mean, m2
 
-    joined = placed.join(entries, ["account_id", "__block"])
-    out = sorted_fold(joined, ["account_id", "__block"], ["ms", "event_id"], list, step, ["amount", "__before", "__mean", "__m2"], "n bigint, mean double, m2 double")
+    joined = placed.join(entries, at)
+    out = sorted_fold(joined, at, ["ms", "event_id"], list, step, ["amount", "__before", "__mean", "__m2"], "n bigint, mean double, m2 double")
     return out.drop("__block", "__before", "__mean", "__m2")

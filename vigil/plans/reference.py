@@ -89,7 +89,7 @@ def running_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def zscore_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """Events beyond the z-score threshold."""
-    s = detect.statistics(_valid(spark, folder))
+    s = folds.capped_welford(_valid(spark, folder), T.zscore_cap)
     z = detect.zscore(F.col("n"), F.col("mean"), F.col("m2"), F.col("amount"), T.zscore_cap)
     return s.filter(detect.zscore_fires(T)).select("event_id", "account_id", "n", _round(z, 4).alias("z"))
 
