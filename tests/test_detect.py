@@ -123,6 +123,28 @@ def test_hot_account_far_above_the_cap_equals_the_recurrence(spark, tmp_path):
     assert {int(x["event_id"]) for x in judged.filter(D.zscore_fires(Thresholds())).collect()} == set(want)
 
 
+def test_judging_blocks_copies_and_restarts_after_a_pause(spark):
+    r, ms, rows = random.Random(5), 0, []
+    for i in range(300):
+        ms += 2000 if i in (100, 200) else r.randrange(1, 60)
+        rows.append((f"{i - r.choice([1, 2]) if i % 7 == 6 else i:03}", "a", float(r.randrange(100)), 0.0, 0.0, ms, ms * 1000))
+    t, last, want, at, n, mean, m2 = Thresholds(dedup_ttl_ms=70, stats_ttl_ms=1000, zscore_cap=40), {}, {}, None, 0, 0.0, 0.0
+    for e, _, x, _, _, ms, _ in rows:
+        if e in last and ms - last[e] < t.dedup_ttl_ms:
+            continue
+        if at is not None and ms - at > t.stats_ttl_ms:
+            n, mean, m2 = 0, 0.0, 0.0
+        last[e], at, n = ms, ms, n + 1
+        d = x - mean
+        mean += d / min(n, t.zscore_cap)
+        m2 = (m2 - m2 / t.zscore_cap if n > t.zscore_cap else m2) + d * (x - mean)
+        want[e, ms] = n, mean, m2
+    assert 260 < len(want) < 300
+    got = {(x["event_id"], x["ms"]): x for x in D.judge(spark.createDataFrame(rows, EVENTS), t).collect()}
+    assert set(got) == set(want)
+    assert all(got[k]["n"] == n and abs(got[k]["mean"] - mean) < 1e-9 and abs(got[k]["m2"] - m2) < 1e-6 for k, (n, mean, m2) in want.items())
+
+
 def test_idle_epochs(spark):
     df = events(spark, [("a", i, 0, 0, t) for i, t in enumerate((0, 10, 111, 212, 212 + 86_400_000))])
     assert [r["epoch"] for r in D.idle_epochs(df, 100).orderBy("ms").collect()] == [0, 0, 1, 2, 3]

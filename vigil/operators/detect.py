@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vigil.functions.geo import haversine_km, speed_kmh
 from vigil.functions.ids import uuid5
 from vigil.model import ALERT_NAMESPACE, Thresholds
-from vigil.operators.folds import capped_welford
+from vigil.operators.folds import capped_welford, dedup_ttl
 from vigil.operators.running import prior_in_window, running
 
 #: Length of the blocks into which an account's events are cut.
@@ -126,6 +126,21 @@ def alerts(judged: DataFrame, t: Thresholds, exempt: Column | None = None, more:
     return fired.select(ident.alias("alert_id"), "event_id", "account_id", "rule_name", reason.alias("reason"), "produced_us")
 
 
-def judge(events: DataFrame, t: Thresholds) -> DataFrame:
-    """events with all that the rules look at. Every event enters all three states, whichever rule fires."""
-    return movement(capped_welford(velocity(events, t.velocity_window_ms), t.zscore_cap), t.geo_ttl_ms)
+def fresh(events: DataFrame, t: Thresholds) -> DataFrame:
+    """events without the copies that come less than dedup_ttl_ms after an accepted one; copies at one time are taken in the
+    order of `arrival` if there is such a column."""
+    if "arrival" in events.columns:
+        return dedup_ttl(events, t.dedup_ttl_ms).filter("accepted").drop("accepted")
+    placed = events.withColumn("arrival", F.struct("produced_us", "account_id", "amount", "lat", "lon"))
+    return dedup_ttl(placed, t.dedup_ttl_ms).filter("accepted").drop("accepted", "arrival")
+
+
+def judge(events: DataFrame, t: Thresholds, restart: bool = True) -> DataFrame:
+    """events with all that the rules look at, without blocked copies, which change no state. Every other event enters all
+    three states, whichever rule fires. Statistics restart after the account has been idle for longer than stats_ttl_ms,
+    unless restart is False."""
+    counted = velocity(fresh(events, t), t.velocity_window_ms)
+    if not restart:
+        return movement(capped_welford(counted, t.zscore_cap), t.geo_ttl_ms)
+    epochs = idle_epochs(counted, t.stats_ttl_ms)
+    return movement(capped_welford(epochs, t.zscore_cap, keys=("account_id", "epoch")).drop("epoch"), t.geo_ttl_ms)

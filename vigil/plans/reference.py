@@ -89,7 +89,7 @@ def running_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def zscore_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """Events beyond the z-score threshold."""
-    s = folds.capped_welford(_valid(spark, folder), T.zscore_cap)
+    s = folds.capped_welford(detect.fresh(_valid(spark, folder), T), T.zscore_cap)
     z = detect.zscore(F.col("n"), F.col("mean"), F.col("m2"), F.col("amount"), T.zscore_cap)
     return s.filter(detect.zscore_fires(T)).select("event_id", "account_id", "n", _round(z, 4).alias("z"))
 
@@ -130,23 +130,29 @@ def geo_alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def alerts_all(spark: SparkSession, folder: str) -> DataFrame:
-    """At most one alert per event by rule precedence."""
-    judged = _exempt(spark, folder, detect.judge(_valid(spark, folder), T))
+    """At most one alert per event by rule precedence, with statistics that never restart, as in the SQL; see gate_alerts."""
+    judged = _exempt(spark, folder, detect.judge(_valid(spark, folder), T, restart=False))
     return detect.alerts(judged, T, F.col("exempt")).drop("reason")
 
 
 def alert_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """The alerts with their texts."""
-    judged = _exempt(spark, folder, detect.judge(_valid(spark, folder), T))
+    judged = _exempt(spark, folder, detect.judge(_valid(spark, folder), T, restart=False))
     return detect.alerts(judged, T, F.col("exempt")).select("event_id", "rule_name", "reason")
 
 
 def clean_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """Why each rule did not fire."""
-    judged = _exempt(spark, folder, detect.judge(_valid(spark, folder), T))
+    judged = _exempt(spark, folder, detect.judge(_valid(spark, folder), T, restart=False))
     return judged.select("event_id", *[detect.clean_reason(r, T, F.col("exempt")).alias(r) for r in ("velocity", "zscore", "geo")])
 
 
+def gate_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts of the whole gate over events with copies: copies are blocked, statistics restart after a pause."""
+    judged = _exempt(spark, folder, detect.judge(with_copies(_valid(spark, folder)), T))
+    return detect.alerts(judged, T, F.col("exempt"))
+
+
 def masking(spark: SparkSession, folder: str) -> DataFrame:
     """Masked account and event ids."""
     return table(spark, folder, "alert_messages").select("row_id", mask(F.col("account_id"), 4).alias("account"), mask(F.col("event_id"), 8).alias("event"))
@@ -339,7 +345,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         velocity_alerts, velocity_counts, event_validation, running_stats, zscore_alerts, stats_idle_reset, geo_speed, account_classes, geo_alerts,
-        alerts_all, alert_reasons, clean_reasons, masking, dedup_ttl, welford_capped, token_bucket, processed_insert, actioned_counts, outbox_stats,
+        alerts_all, alert_reasons, clean_reasons, gate_alerts, masking, dedup_ttl, welford_capped, token_bucket, processed_insert, actioned_counts, outbox_stats,
         outbox_purge, processed_purge, outbox_next_batch, outbox_retry, outbox_fields, payload_decode, recent_alerts, account_history,
         triage_status_counts, verdict_validation, evidence_grounding, triage_degraded, triage_sweep, redrive_route, redrive_reconstruct, topic_depth,
         consumer_lag, latency_percentiles, offset_change,
