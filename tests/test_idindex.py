@@ -18,6 +18,14 @@ def test_every_way_to_write_a_uuid(spark):
     assert [r[0] for r in rows] == [u] * len(same) + [None] * len(other)
 
 
+def test_line_breaks_at_the_end_of_a_uuid(spark):
+    u = "1c8d6a9c-c5f9-5351-8dec-b5af762e1d82"
+    rows = [(u + end,) for end in ("\n", "\r\n", "\r", "\n\n", "\u0085", "\u2028", "\u2029")] + [(u.replace("-", "") + "\n",)]
+    ids = spark.createDataFrame(rows, "x string").select(canonical_uuid(F.col("x")).alias("c")).select("c", uuid_bytes(F.col("c")).alias("b")).collect()
+    assert all((r["c"] is None) == (r["b"] is None) for r in ids)  # else a row would be neither unnamed nor admitted
+    assert [r["c"] for r in ids[:4] + ids[-1:]] == [u] * 5
+
+
 def test_uuid5_equals_the_standard_library(spark):
     names = ["0:velocity", "1:velocity", "ev-ü:geo", ""]
     rows = spark.createDataFrame([(x,) for x in names], "x string").select(uuid5(ALERT_NAMESPACE, F.col("x"))).collect()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CANONICAL = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+# \A and \z: $ also matches before a line break at the end.
+_CANONICAL = r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 _BLANK = r"[\s\x{00a0}\x{200b}\x{feff}]"
 _WRAPPING = rf"^{_BLANK}*(urn:)?(uuid:)?{_BLANK}*[{{(]?{_BLANK}*|{_BLANK}*[)}}]?{_BLANK}*$|-"
 
@@ -22,7 +23,7 @@ def canonical_uuid(text: Column) -> Column:
     Letter case, surrounding blanks, braces or parentheses, a urn:uuid: prefix and absent hyphens make no difference.
     """
     plain = F.regexp_replace(F.lower(text), _WRAPPING, "")
-    return F.when(text.rlike(_CANONICAL), text).when(plain.rlike("^[0-9a-f]{32}$"), with_hyphens(plain))
+    return F.when(text.rlike(_CANONICAL), text).when(plain.rlike(r"\A[0-9a-f]{32}\z"), with_hyphens(plain))
 
 
 def uuid_bytes(canonical: Column) -> Column:
