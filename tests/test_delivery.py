@@ -27,10 +27,11 @@ def headers(**pairs):
 def test_redrive_cases(spark):
     from vigil.functions.text import header_text
 
-    for tries, dest in (("0", "payment.events"), ("2", "payment.events"), ("3", "payment.events.DLT.parked"), ("abc", "payment.events")):
-        df = spark.range(1).select(F.lit("payment.events.DLT").alias("topic"), headers(trace="t", x_redrive_attempts=tries).alias("headers"))
-        row = delivery.redrive(df).select("dest", header_text(F.col("headers"), "x-redrive-attempts"), F.size("headers")).first()
-        assert row[:] == (dest, str((int(tries) if tries.isdigit() else 0) + 1), 2)
+    for tries, dest in (("0", "payment.events"), ("2", "payment.events"), ("3", "payment.events.DLT.parked"), ("abc", "payment.events"), ("99999999999", "payment.events.DLT.parked"), ("0" * 50, "payment.events")):
+        df = spark.range(1).select(F.lit("payment.events.DLT").alias("topic"), headers(trace="t", x_redrive_attempts=tries, x_redrive_origin="stale").alias("headers"))
+        out = delivery.redrive(df, F.lit("2020-06-15 01:02:03").cast("timestamp"))
+        row = out.select("dest", *[header_text(F.col("headers"), f"x-redrive-{n}") for n in ("attempts", "at", "origin")], F.size("headers")).first()
+        assert row[:] == (dest, str(min(int(tries) if tries.isdigit() else 0, 2**31 - 2) + 1), "2020-06-15T01:02:03Z", "payment.events.DLT", 4)
     assert delivery.redrive(spark.range(1).select(F.lit("other").alias("topic"), headers(a="b").alias("headers"))).first()["dest"] is None
 
 

@@ -145,6 +145,43 @@ def test_judging_blocks_copies_and_restarts_after_a_pause(spark):
     assert all(got[k]["n"] == n and abs(got[k]["mean"] - mean) < 1e-9 and abs(got[k]["m2"] - m2) < 1e-6 for k, (n, mean, m2) in want.items())
 
 
+@pytest.mark.parametrize("size", [60, 3000])
+def test_large_amounts_that_differ_little(spark, size):
+    amounts = [1e9 + (i % 2) for i in range(size)]
+    df = events(spark, [("a", x, 0, 0, i * 40_000_000) for i, x in enumerate(amounts)])
+    last = D.statistics(df).orderBy(F.col("ms").desc()).first()
+    assert last["n"] == size and abs(last["mean"] - (1e9 + 0.5)) < 1e-6 and abs(last["m2"] / size - 0.25) < 1e-6
+    capped = D.capped_welford(df, 10**6).orderBy(F.col("ms").desc()).first()
+    assert abs(capped["m2"] / size - 0.25) < 1e-6
+
+
+def test_statistics_with_restarts_equal_a_loop(spark):
+    r, ms, rows = random.Random(6), 0, []
+    for i in range(700):
+        ms += r.choice([0, 5, 40, 2000 if r.random() < 0.1 else 60])
+        rows.append((r.choice("aaab"), r.gauss(1e6, 3), i, 0, ms))
+    got = {x["event_id"]: x for x in D.statistics(events(spark, rows), 900, 250, {"prev": ["lat", "ms"]}).collect()}
+    state = {}
+    for i, (a, x, lat, _, ms) in sorted(enumerate(rows), key=lambda e: (e[1][4], str(e[0]))):
+        n, mean, m2, epoch, prev = state.get(a, (0, 0.0, 0.0, 0, None))
+        if prev and ms - prev[1] > 900:
+            n, mean, m2, epoch = 0, 0.0, 0.0, epoch + 1
+        d = x - mean
+        n, mean = n + 1, mean + d / (n + 1)
+        m2 += d * (x - mean)
+        g = got[str(i)]
+        assert (g["n"], g["epoch"], g["prev"] and tuple(g["prev"])) == (n, epoch, prev)
+        assert abs(g["mean"] - mean) < 1e-6 and abs(g["m2"] - m2) < 1e-5 * max(1, m2)
+        state[a] = n, mean, m2, epoch, (lat, ms)
+
+
+def test_plans_read_their_source_at_most_twice(spark, tmp_path):
+    path = f"{tmp_path}/e"
+    events(spark, [("a", i, 0, 0, i * 1000) for i in range(50)]).write.parquet(path)
+    for made in (D.statistics(spark.read.parquet(path), 1000), D.movement(spark.read.parquet(path), 1000), D.velocity(spark.read.parquet(path), 1000)):
+        assert made._jdf.queryExecution().executedPlan().toString().count(f"Location: InMemoryFileIndex(1 paths)[file:{path}") <= 2
+
+
 def test_idle_epochs(spark):
     df = events(spark, [("a", i, 0, 0, t) for i, t in enumerate((0, 10, 111, 212, 212 + 86_400_000))])
     assert [r["epoch"] for r in D.idle_epochs(df, 100).orderBy("ms").collect()] == [0, 0, 1, 2, 3]

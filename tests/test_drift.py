@@ -87,3 +87,28 @@ def test_every_renamed_field_of_the_data_has_one_canonical_column(spark, folder)
     home = {(feed, name): column for feed, column, _, names in drift.ALIASES for name in names}
     for r in drift.schema_changes(table(spark, folder, "raw_messages")).filter(F.col("change_kind") == "renamed").collect():
         assert home.get((r["feed"], r["field_name"])) == home.get((r["feed"], r["new_name"]))
+
+
+def test_no_value_is_lost(spark):
+    body = {"id": U[0], "created_at": 1700000000000001, "status": "P", "state": "Q", "attempts": "many", "account_id": {"code": "a", "region": "x"}, "tracestate": {"code": "only"}, "unknown": "1", "list": [1, "1"]}
+    other = {"id": U[1], "created_at": 1700000000000000001, "attempts": 3.5, "acct": None, "traceparent": ["00", "t", "s", "00", "more"], "none": None}
+    third = {"id": U[2], "created_at": 1700000000, "inserted_at": "2020-01-01T00:00:00Z"}
+    rows = drift.unified(raw(spark, [(1, [body, other, third, '{"a":1'])], "outbox_row"), "outbox_row").orderBy("line_no").collect()
+    assert [str(r["created_at"]) for r in rows] == ["2023-11-14 22:13:20.000001", "None", "2023-11-14 22:13:20"]
+    assert rows[0]["status"] == "P" and rows[0]["account_id"] == "a" and rows[0]["tracestate"] == "only"
+    assert {k: json.loads(v) for k, v in rows[0]["extra"].items()} == {k: body[k] for k in ("state", "attempts", "account_id", "unknown", "list")}
+    assert {k: json.loads(v) for k, v in rows[1]["extra"].items()} == {k: other[k] for k in ("created_at", "attempts", "traceparent", "none")}
+    assert {k: json.loads(v) for k, v in rows[2]["extra"].items()} == {"inserted_at": third["inserted_at"]}
+
+
+def test_renames_extend_the_alias_table(spark):
+    changes = spark.createDataFrame(
+        [("outbox_row", "renamed", "status", "phase"), ("outbox_row", "renamed", "phase", "lane"), ("outbox_row", "renamed", "lane", "phase"), ("outbox_row", "renamed", "x", "y"),
+         ("outbox_row", "renamed", "tries", "both"), ("outbox_row", "renamed", "state", "both"), ("payment_alert", "renamed", "status", "other"), ("outbox_row", "added", "status", "")],
+        "feed string, change_kind string, field_name string, new_name string",
+    )
+    table = {column: names for feed, column, _, names in drift.with_renames(changes, "outbox_row") if feed == "outbox_row"}
+    assert table["status"] == ["status", "state", "lane", "phase"] and "both" not in table["attempts"] + table["status"]
+    bodies = raw(spark, [(1, [{"id": U[0], "status": "A"}]), (2, [{"id": U[0], "phase": "A"}]), (3, [{"id": U[1], "phase": "B", "more": 1}])], "outbox_row")
+    out = drift.unified(bodies, "outbox_row", drift.with_renames(drift.schema_changes(bodies), "outbox_row")).orderBy("file_no").collect()
+    assert [(r["status"], dict(r["extra"])) for r in out] == [("A", {}), ("A", {}), ("B", {"more": "1"})]

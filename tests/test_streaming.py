@@ -56,10 +56,10 @@ def test_dedup_stream_equals_the_batch(spark):
     assert got == {(r["arrival"], r["accepted"]) for r in folds.dedup_ttl(df, 9000).collect()}
 
 
-def files(spark, df):
+def files(spark, df, ordered=False):
     source = work_path(spark, "in")
     for i in range(3):
-        df.filter(F.col("arrival") % 3 == i).coalesce(1).write.mode("append").parquet(source)
+        df.filter((F.floor(F.col("arrival") / 40) if ordered else F.col("arrival") % 3) == i).coalesce(1).write.mode("append").parquet(source)
     return folder_stream(spark, source, EVENTS, files_per_trigger=1)
 
 
@@ -81,7 +81,13 @@ def test_admitting_a_stream(spark):
 
 
 def test_views_over_a_stream(spark):
-    stream = files(spark, events(spark)).withColumn("at", F.timestamp_micros(F.col("ms") * 1_000_000)).withColumn("seen", F.timestamp_micros(F.col("ms") * 1_000_000 + 5))
+    stream = files(spark, events(spark), ordered=True).withColumn("at", F.timestamp_micros(F.col("ms") * 1_000_000 - F.when(F.col("arrival") % 7 == 3, 7_200_000_000).otherwise(0))).withColumn("seen", F.timestamp_micros(F.col("ms") * 1_000_000 + 5))
     views = LambdaViews(spark, work_path(spark, "views"))
-    assert jobs.hourly_views(stream, views, "s", "at", "seen", 2, work_path(spark, "cp")).awaitTermination(120)
-    assert sum(r["n"] for r in views.view().collect()) > 0
+    checkpoint = work_path(spark, "cp")
+    assert jobs.hourly_views(stream, views, "s", "at", "seen", 2, checkpoint).awaitTermination(120)
+    again = LambdaViews(spark, views.path)
+    assert jobs.hourly_views(stream, again, "s", "at", "seen", 2, checkpoint).awaitTermination(120)  # nothing new
+    assert again.numbers == [0, 1, 2] and again.log().count() == 120
+    again.recompute()
+    view = again.view().collect()
+    assert sum(r["n"] + r["refused"] for r in view) == 120 and sum(r["corrections"] for r in view) == again.log().filter("lateness = 'corrects'").count() > 0

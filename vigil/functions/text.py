@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Attempts are counted up to here, so that the next number is an int, too.
+MOST_ATTEMPTS = 2**31 - 2
+
 
 def mask(text: Column, shown: int) -> Column:
     """The last `shown` characters; **** for null and for shorter text."""
@@ -28,8 +31,10 @@ def with_header(headers: Column, name: str, value: Column) -> Column:
 
 
 def attempts(text: Column) -> Column:
-    """A header's number of attempts; 0 if it is absent or no number."""
-    return F.coalesce(F.when(text.rlike("^[0-9]{1,9}$"), text).cast("int"), F.lit(0))
+    """A header's number of attempts; 0 if it is absent or no number, MOST_ATTEMPTS for any greater number."""
+    digits = F.when(text.rlike(r"\A[0-9]+\z"), F.regexp_replace(text, r"\A0+(?=[0-9])", ""))
+    small = F.when(F.length(digits) <= 10, F.least(digits.cast("bigint"), F.lit(MOST_ATTEMPTS))).when(digits.isNotNull(), MOST_ATTEMPTS)
+    return F.coalesce(small, F.lit(0)).cast("int")
 
 
 def is_traceparent(text: Column) -> Column:

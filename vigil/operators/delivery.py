@@ -10,8 +10,10 @@ from vigil.functions.text import attempts, header_text, with_header, without_hea
 from vigil.model import ALERT_NAMESPACE
 
 MAX_ATTEMPTS = 5
+HEADERS = "array<struct<key:string,value:binary>>"
 REDRIVE_CAP = 3
-REDRIVE_HEADERS = ["x-redrive-attempts", "x-redrive-from", "x-redrive-at"]
+#: Headers that every re-drive replaces. Fixed values.
+REDRIVE_HEADERS = ["x-redrive-attempts", "x-redrive-at", "x-redrive-origin"]
 #: Dead-letter topics that may be drained, and where to. Fixed values.
 ALLOWED = {"payment.events.DLT": "payment.events", "payment.alerts.DLT": "payment.alerts", "payment.alerts.triage.DLT": "payment.alerts"}
 
@@ -49,15 +51,21 @@ def latest_per_key(df: DataFrame, key: str, order: list[Column], k: int = 20) ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def redrive(letters: DataFrame, cap: int = REDRIVE_CAP) -> DataFrame:
+def redrive(letters: DataFrame, now: Column | None = None, cap: int = REDRIVE_CAP) -> DataFrame:
     """letters (topic, headers, ...) with dest, attempts and the headers of the next try.
 
-    Back to the source up to the cap, then to <topic>.parked. A topic that is not allowed has a null dest and stays.
+    Back to the source up to the cap, then to <topic>.parked. A topic that is not allowed has a null dest and stays. All
+    headers are kept but the three of REDRIVE_HEADERS, which are stamped anew: the next number, `now` (by default the
+    clock's) in the session's time zone, which should be UTC, and the topic the letter was drained from.
     """
+    now = F.current_timestamp() if now is None else now
     n = attempts(header_text(F.col("headers"), "x-redrive-attempts"))
     source = F.element_at(F.create_map(*[F.lit(x) for pair in ALLOWED.items() for x in pair]), F.col("topic"))
     dest = F.when(source.isNull(), None).when(n >= cap, F.concat("topic", F.lit(".parked"))).otherwise(source)
-    headers = with_header(without_headers(F.col("headers"), REDRIVE_HEADERS), "x-redrive-attempts", (n + 1).cast("string"))
+    stamps = [(n + 1).cast("string"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("topic")]
+    headers = without_headers(F.coalesce("headers", F.array().cast(HEADERS)), REDRIVE_HEADERS)
+    for name, value in zip(REDRIVE_HEADERS, stamps):
+        headers = with_header(headers, name, value)
     return letters.withColumn("attempts", n).withColumn("dest", dest).withColumn("headers", headers)
 
 

@@ -14,14 +14,12 @@ from vigil.functions.geo import haversine_km, speed_kmh
 from vigil.functions.ids import uuid5
 from vigil.model import ALERT_NAMESPACE, Thresholds
 from vigil.operators.folds import capped_welford, dedup_ttl
-from vigil.operators.running import prior_in_window, running
+from vigil.operators.running import BLOCK_MS, prior_in_window, running, statistics
+from vigil.session import written
 
-#: Length of the blocks into which an account's events are cut.
-BLOCK_MS = 86_400_000
-
-
-def _blocked(events: DataFrame, block_ms: int) -> DataFrame:
-    return events.withColumn("__block", F.floor(F.col("ms") / block_ms))
+__all__ = ["BLOCK_MS", "alert_reason", "alerts", "clean_reason", "fresh", "geo_fires", "idle_epochs", "judge", "movement", "statistics", "velocity", "velocity_fires", "zscore", "zscore_fires"]
+#: What the speed rule needs of the event before.
+_PLACE = {"prev": ["lat", "lon", "ms"]}
 
 
 def velocity(events: DataFrame, window_ms: int) -> DataFrame:
@@ -29,25 +27,19 @@ def velocity(events: DataFrame, window_ms: int) -> DataFrame:
     return prior_in_window(events, "account_id", "ms", "event_id", window_ms, "velocity_prior")
 
 
-def statistics(events: DataFrame, keys: tuple[str, ...] = ("account_id",), block_ms: int = BLOCK_MS) -> DataFrame:
-    """events with n, mean and m2 (sum of squared deviations) of the amounts up to and with each event."""
-    ready = _blocked(events, block_ms).withColumn("__one", F.lit(1).cast("bigint")).withColumn("__square", F.col("amount") * F.col("amount"))
-    sums = {"n": "__one", "__s1": "amount", "__s2": "__square"}
-    out = running(ready, list(keys), "__block", ["ms", "event_id"], sums, {"__lo": "amount"}, {"__hi": "amount"})
-    m2 = F.when(F.col("__lo") == F.col("__hi"), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("__s2") - F.col("__s1") * F.col("__s1") / F.col("n")))
-    return out.withColumn("mean", F.col("__s1") / F.col("n")).withColumn("m2", m2).drop("__block", "__one", "__square", "__s1", "__s2", "__lo", "__hi")
-
-
 def idle_epochs(events: DataFrame, ttl_ms: int, block_ms: int = BLOCK_MS) -> DataFrame:
     """events with epoch: how often the account had been idle for longer than the time-to-live, so that statistics restart."""
-    placed = running(_blocked(events, block_ms), ["account_id"], "__block", ["ms", "event_id"], previous={"__prev": ["ms"]})
-    idle = placed.withColumn("__idle", F.when(F.col("ms") - F.col("__prev.ms") > ttl_ms, 1).otherwise(0).cast("bigint"))
-    return running(idle, ["account_id"], "__block", ["ms", "event_id"], {"epoch": "__idle"}).drop("__prev", "__idle", "__block")
+    kept = [c for c in events.columns if c.lower() != "epoch"]
+    return statistics(events, ttl_ms, block_ms).select(*kept, "epoch")
 
 
 def movement(events: DataFrame, ttl_ms: int, block_ms: int = BLOCK_MS) -> DataFrame:
     """events with prev (lat, lon, ms of the account's event before; null if none or expired), dist_km and speed_kmh."""
-    placed = running(_blocked(events, block_ms), ["account_id"], "__block", ["ms", "event_id"], previous={"prev": ["lat", "lon", "ms"]}).drop("__block")
+    blocked = events.withColumn("__block", F.floor(F.col("ms") / block_ms))
+    return _moved(running(blocked, ["account_id"], "__block", ["ms", "event_id"], previous=_PLACE).drop("__block"), ttl_ms)
+
+
+def _moved(placed: DataFrame, ttl_ms: int) -> DataFrame:
     prev = F.when(F.col("ms") - F.col("prev.ms") <= ttl_ms, F.col("prev"))
     out = placed.withColumn("prev", prev)
     out = out.withColumn("dist_km", haversine_km(F.col("prev.lat"), F.col("prev.lon"), F.col("lat"), F.col("lon")))
@@ -138,9 +130,7 @@ def fresh(events: DataFrame, t: Thresholds) -> DataFrame:
 def judge(events: DataFrame, t: Thresholds, restart: bool = True) -> DataFrame:
     """events with all that the rules look at, without blocked copies, which change no state. Every other event enters all
     three states, whichever rule fires. Statistics restart after the account has been idle for longer than stats_ttl_ms,
-    unless restart is False."""
-    counted = velocity(fresh(events, t), t.velocity_window_ms)
-    if not restart:
-        return movement(capped_welford(counted, t.zscore_cap), t.geo_ttl_ms)
-    epochs = idle_epochs(counted, t.stats_ttl_ms)
-    return movement(capped_welford(epochs, t.zscore_cap, keys=("account_id", "epoch")).drop("epoch"), t.geo_ttl_ms)
+    unless restart is False. What comes before the account's states is written once, and statistics and previous place are
+    taken in one pass."""
+    counted = written(velocity(fresh(events, t), t.velocity_window_ms), "counted")
+    return _moved(capped_welford(counted, t.zscore_cap, ttl_ms=t.stats_ttl_ms if restart else None, previous=_PLACE), t.geo_ttl_ms)

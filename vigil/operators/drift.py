@@ -57,6 +57,8 @@ ALIASES = [
     ("outbox_row", "traceparent", "trace", ["traceparent", "traceParent", "trace_parent", "w3c_parent"]),
     ("outbox_row", "tracestate", "string", ["tracestate", "trace_state"]),
 ]
+MAX_RENAMES = 10_000
+KINDS = ("boolean", "list", "number", "object", "text")
 TYPES = {"uuid": "string", "json": "string", "version": "string", "trace": "string"}
 
 
@@ -76,38 +78,42 @@ def _kind(value_type: Column) -> Column:
     )
 
 
+def _object(body: str = "body") -> Column:
+    """The body as VARIANT if it may be one JSON object, else null."""
+    trimmed = F.trim(F.regexp_replace(body, r"^\s+|\s+$", ""))
+    return F.when(trimmed.startswith("{") & trimmed.endswith("}"), F.try_parse_json(body))
+
+
 def records(raw: DataFrame, *keep: str) -> DataFrame:
-    """The lines whose body is a JSON object, with the object as VARIANT in `v`. Other columns of raw are left behind."""
-    body = F.trim(F.regexp_replace("body", r"^\s+|\s+$", ""))
-    parsed = raw.filter(body.startswith("{") & body.endswith("}")).select(*FILE, *keep, F.try_parse_json("body").alias("v"))
-    return parsed.filter(F.col("v").isNotNull())
+    """The lines whose body is a JSON object, with the object as VARIANT in `v`. Other columns of raw are left behind.
+
+    Through an array, as a filter on the parsed body would be moved below the projection and parse every body twice.
+    """
+    return raw.select(*FILE, *keep, F.explode(F.array_compact(F.array(_object()))).alias("v"))
 
 
-def _quoted(df: DataFrame, sql: str) -> DataFrame:
-    return df.sparkSession.sql(sql, rows=df)
+def _exploded(raw: DataFrame, *keep: str) -> DataFrame:
+    """(file, keep, field_name, value, value_type): a row per top-level field of each body that is an object."""
+    parsed = raw.select(*FILE, *keep, _object().alias("v"))
+    names = ", ".join([*FILE, *keep])
+    sql = f"SELECT {names}, key AS field_name, value, schema_of_variant(value) AS value_type FROM {{rows}}, LATERAL variant_explode(v)"
+    return raw.sparkSession.sql(sql, rows=parsed)
 
 
 def fields(raw: DataFrame) -> DataFrame:
-    """(file, line_no, id, field_name, kind, digest): a row per top-level field of each record.
+    """(file, line_no, field_name, kind, h1, h2, own_id): a row per top-level field of each record.
 
-    kind is null for a null value. digest is a 128-bit hash of the value's canonical JSON text, in which objects have their
-    names sorted and decimals no trailing zeros. id is the record's alert id, in one form if it denotes a UUID; null if the
-    record has none.
+    kind is null for a null value. h1 and h2 are a 128-bit hash of the value's canonical JSON text, in which objects have
+    their names sorted and decimals no trailing zeros. own_id is the value itself where the field holds the record's alert id,
+    in one form if it denotes a UUID.
     """
     names = F.create_map(*[x for feed, known in ID_NAMES.items() for x in (F.lit(feed), F.array(*map(F.lit, known)))])
     text = F.variant_get(F.col("value"), "$", "string")
-    exploded = _quoted(
-        records(raw, "line_no"),
-        "SELECT feed, site, file_no, line_no, key AS field_name, value, schema_of_variant(value) AS value_type FROM {rows}, LATERAL variant_explode(v)",
-    )
-    kind = _kind(F.col("value_type"))
-    json = F.to_json("value")
+    kind, json = _kind(F.col("value_type")), F.to_json("value")
     is_id = (kind == "text") & F.array_contains(F.element_at(names, F.col("feed")), _bare(F.col("field_name")))
     own = F.when(is_id, F.coalesce(canonical_uuid(text), text))
-    cells = exploded.select(
-        *FILE, "line_no", "field_name", kind.alias("kind"), F.xxhash64(json).alias("h1"), F.xxhash64(F.lit(1), json).alias("h2"), own.alias("own_id")
-    )
-    return cells
+    hashes = [F.xxhash64(json).alias("h1"), F.xxhash64(F.lit(1), json).alias("h2")]
+    return _exploded(raw, "line_no").select(*FILE, "line_no", "field_name", kind.alias("kind"), *hashes, own.alias("own_id"))
 
 
 def file_sequence(raw: DataFrame) -> DataFrame:
@@ -117,10 +123,15 @@ def file_sequence(raw: DataFrame) -> DataFrame:
     return files.select(*FILE, F.row_number().over(series.orderBy("file_no")).alias("seq"), F.count(F.lit(1)).over(series).alias("last_seq"))
 
 
-def footers(cells: DataFrame, sequence: DataFrame) -> DataFrame:
-    """(producer, seq, last_seq, field_name, kinds): what a file's footer says of each field; kinds is sorted."""
-    kinds = F.array_sort(F.collect_set("kind")).alias("kinds")
-    return cells.groupBy(*FILE, "field_name").agg(kinds).join(sequence, FILE).drop("file_no")
+def footers(raw: DataFrame, sequence: DataFrame) -> DataFrame:
+    """(producer, seq, last_seq, field_name, kinds): what a file's footer says of each field; kinds is sorted.
+
+    Only names and kinds are looked at; a file's lines are combined to one set of bits per field before the shuffle.
+    """
+    bit = F.coalesce(*[F.when(_kind(F.col("value_type")) == kind, 1 << i) for i, kind in enumerate(KINDS)], F.lit(0))
+    bits = _exploded(raw).select(*FILE, "field_name", bit.alias("bit")).groupBy(*FILE, "field_name").agg(F.bit_or("bit").alias("bits"))
+    kinds = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) != 0, kind) for i, kind in enumerate(KINDS)]))
+    return bits.select(*FILE, "field_name", kinds.alias("kinds")).join(sequence, FILE).drop("file_no")
 
 
 def islands(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,13 +164,13 @@ def retyped(spans: DataFrame, footer: DataFrame) -> DataFrame:
     return changed.join(valued, keys, "left_semi").join(valued.withColumn("seq", F.col("seq") + 1), keys, "left_semi")
 
 
-def renamed(cells: DataFrame, sequence: DataFrame, came: DataFrame, went: DataFrame) -> DataFrame:
+def renamed(raw: DataFrame, sequence: DataFrame, came: DataFrame, went: DataFrame) -> DataFrame:
     """(producer, seq, field_name, new_name): pairs of a field that went and one that came which agree in every record.
 
     A and B count the shared records in which the old and the new field have a value, M those in which both have the same;
     A = B = M > 0 says that the values agree wherever there is one. M comes from an equi-join on record and value, so no
-    pair of fields is tried that has not a value in common. Only files where fields went and came are looked at, and of
-    these only the values of such fields; both are picked by tables of metadata before any record is shuffled.
+    pair of fields is tried that has not a value in common. Only the bodies of files where fields went and came are read for
+    their values, and of these only such fields; both are picked by tables of metadata before any record is shuffled.
     """
     at, role = [*PRODUCER, "seq"], lambda name: F.lit(name).alias("role")
     turns = came.select(*at).distinct().join(went.select(*at).distinct(), at, "left_semi")
@@ -169,6 +180,9 @@ def renamed(cells: DataFrame, sequence: DataFrame, came: DataFrame, went: DataFr
     changed = went.select(*at, "field_name", role("old")).unionByName(came.select(*at, "field_name", role("new")))
     picked = small_side(files.join(changed, [*at, "role"]), "changed-fields")
     record = [*FILE, "line_no", "seq", "role"]
+    wanted = F.col("own_id").isNotNull() | F.col("kind").isNotNull()
+    some = raw.join(small_side(files.select(*FILE).distinct(), "changed-file-names"), FILE, "left_semi")
+    cells = written(fields(some).filter(wanted), "cells")
     ids = written(cells.filter(F.col("own_id").isNotNull()).join(files, FILE).groupBy(*record).agg(F.min("own_id").alias("id")), "record-ids")
     shared = ids.groupBy(*at, "id").agg(F.min("role").alias("lo"), F.max("role").alias("hi")).filter("lo != hi").select(*at, "id")
     values = cells.filter(F.col("kind").isNotNull()).join(picked, [*FILE, "field_name"]).join(ids.join(shared, [*at, "id"], "left_semi"), record)
@@ -187,14 +201,13 @@ def schema_changes(raw: DataFrame) -> DataFrame:
 
     change_kind is renamed, removed, added or retyped; new_name is '' unless renamed. No lines give no rows.
     """
-    cells = written(fields(raw), "cells")
     sequence = small_side(file_sequence(raw), "file-sequence")
-    footer = written(footers(cells, sequence), "footers")
+    footer = written(footers(raw, sequence), "footers")
     spans = written(lifespans(footer), "lifespans")
     came, went = _ends(spans.filter(F.col("kind") == "").drop("kind").withColumn("kind", F.lit("")))
     came, went = came.drop("kind"), went.drop("kind")
     at = [*PRODUCER, "seq"]
-    moved = written(renamed(cells, sequence, came, went), "renamed")
+    moved = written(renamed(raw, sequence, came, went), "renamed")
     log = lambda rows, kind, new=F.lit(""): rows.select(*at, F.lit(kind).alias("change_kind"), "field_name", new.alias("new_name"))
     gone = went.join(moved.select(*at, "field_name"), [*at, "field_name"], "left_anti")
     fresh = came.join(moved.select(*at, F.col("new_name").alias("field_name")), [*at, "field_name"], "left_anti")
@@ -220,8 +233,11 @@ def _cast(value: Column, kind: str) -> Column:
         joined = lambda cols: F.when(F.forall(F.array(*cols), lambda x: x.isNotNull()), F.concat_ws("-", *cols))
         return F.coalesce(joined([F.lit("00"), *parts]), joined(listed), F.when(F.schema_of_variant(value) == "STRING", text))
     if kind == "timestamp":
-        millis = F.when(text.rlike("^-?[0-9]{1,15}$"), text).cast("bigint")
-        return F.coalesce(F.timestamp_millis(millis), F.try_to_timestamp(F.when(~text.rlike("^-?[0-9]+$"), text)))
+        number = F.when(text.rlike(r"\A-?[0-9]{1,18}\z|\A-?[0-8][0-9]{18}\z"), text).cast("bigint")
+        digits = F.length(F.ltrim(text, F.lit("-")))
+        whole_us = F.when(digits <= 11, number * 1_000_000).when(digits <= 15, number * 1000).when(digits <= 17, number)
+        micros = F.coalesce(whole_us, F.when(number % 1000 == 0, F.floor(number / F.lit(1000)).cast("bigint")))
+        return F.coalesce(F.timestamp_micros(micros), F.try_to_timestamp(F.when(~text.rlike(r"\A-?[0-9]+\z"), text)))
     if kind == "boolean":
         low = F.lower(text)
         return F.when(low.isin("true", "1"), True).when(low.isin("false", "0"), False)
@@ -230,21 +246,69 @@ def _cast(value: Column, kind: str) -> Column:
     return F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE]-?[0-9]+)?$"), text).try_cast(kind)
 
 
+def _whole(value: Column, kind: str) -> Column:
+    """Whether the cast takes all of a value: a scalar, or a list or object without members that the cast passes over."""
+    if kind == "json":
+        return F.lit(True)
+    items, members = (F.size(F.try_variant_get(value, "$", of)) for of in ("array<variant>", "map<string,variant>"))
+    part = {"string": "$.code", "version": "$.major", "trace": "$.traceId"}.get(kind, "$")
+    parts = {"trace": 3}.get(kind, 1)
+    inner = F.when(F.try_variant_get(value, part, "string").isNull(), kind == "string").otherwise(members == parts)
+    shape = F.schema_of_variant(value)
+    return F.when(shape.startswith("OBJECT"), inner).when(shape.startswith("ARRAY"), (items == 4) if kind == "trace" else F.lit(kind == "string")).otherwise(True)
+
+
+def with_renames(changes: DataFrame, feed: str, aliases: list[tuple] = ALIASES) -> list[tuple]:
+    """The alias table with the names to which the feed's columns were renamed according to schema_changes(), chains included.
+
+    A name that would belong to two columns, or that a path cannot hold, is left out; its values stay in extra. The driver reads
+    the distinct renames, at most MAX_RENAMES; more raise an error.
+    """
+    renames = changes.filter((F.col("change_kind") == "renamed") & (F.col("feed") == feed)).select("field_name", "new_name").distinct()
+    links = [tuple(r) for r in renames.limit(MAX_RENAMES + 1).collect()]
+    if len(links) > MAX_RENAMES:
+        raise ValueError(f"more than {MAX_RENAMES} different renames")
+    near: dict[str, set[str]] = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    listed = {name for of, _, _, names in aliases if of == feed for name in names}
+    claims: dict[str, set[str]] = {}
+    for of, column, _, names in aliases:
+        reached, new = set(names), list(names) if of == feed else []
+        while new:
+            more = near.get(new.pop(), set()) - reached - listed
+            reached |= more
+            new += more
+        for name in reached - set(names):
+            claims.setdefault(name, set()).add(column)
+    of_one = sorted(name for name, columns in claims.items() if len(columns) == 1 and not set(name) & set("'[]\\"))
+    return [(of, column, kind, [*names, *(n for n in of_one if claims[n] == {column})] if of == feed else names) for of, column, kind, names in aliases]
+
+
 def unified(raw: DataFrame, feed: str, aliases: list[tuple] = ALIASES) -> DataFrame:
     """One table with a constant schema for a feed: site, file_no, line_no, landed_at, the canonical columns, extra.
 
-    The casts come from the alias table: a canonical column takes the first non-null value among its aliases, each cast
-    according to its kind. extra holds every field that is in no alias list, as name -> JSON text, so nothing is lost.
-    Lines that are no JSON object are not in the table.
+    The casts come from the alias table: a canonical column takes the first value among its aliases that can be cast, each
+    according to its kind. extra has, as name -> JSON text, every other field, so that nothing is lost: fields in no alias
+    list, further aliases of a column that had a value already, values that cannot be cast, and lists and objects of which
+    a column takes only a part. Null values of listed fields are left out. Lines that are no JSON object are not in the table.
+
+    A number is a time in seconds, milliseconds, microseconds or nanoseconds by its digits (up to 11, 15, 17, 19).
     """
     rows = records(raw.filter(F.col("feed") == feed), "line_no", "landed_at")
     known = [(column, kind, names) for of, column, kind, names in aliases if of == feed]
-    columns = []
+    columns, taken = [], []
     for column, kind, names in known:
-        values = [F.try_variant_get(F.col("v"), f"$['{name}']", "variant") for name in names]
-        cast = F.coalesce(*[_cast(value, kind) for value in values])
-        columns.append(cast.cast(TYPES.get(kind, kind)).alias(column))
-    listed = F.array(*[F.lit(name) for _, _, names in known for name in names])
-    everything = F.from_json(F.to_json("v"), "map<string,string>")
-    extra = F.map_filter(everything, lambda name, _: ~F.array_contains(listed, name))
+        casts, whole = [], []
+        for name in names:
+            value = F.try_variant_get(F.col("v"), f"$['{name}']", "variant")
+            cast = _cast(value, kind)
+            casts.append(cast)
+            whole.append(F.when(cast.isNotNull(), F.when(_whole(value, kind), name).otherwise("")))
+        columns.append(F.coalesce(*casts).cast(TYPES.get(kind, kind)).alias(column))
+        taken.append(F.coalesce(*whole))
+    listed, held = F.array(*[F.lit(name) for _, _, names in known for name in names]), F.array_compact(F.array(*taken))
+    left = lambda name, value: ~F.array_contains(held, name) & ~(F.array_contains(listed, name) & F.is_variant_null(value))
+    extra = F.transform_values(F.map_filter(F.col("v").cast("map<string,variant>"), left), lambda _, value: F.to_json(value))
     return rows.select("site", "file_no", "line_no", "landed_at", *columns, extra.alias("extra"))

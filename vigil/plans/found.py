@@ -36,15 +36,21 @@ def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
     return messages.unionByName(acted)
 
 
+def _layers(spark: SparkSession, folder: str) -> lateness.LambdaViews:
+    """Both tables through fast and batch layer, in batches by time of arrival."""
+    return lateness.add_in_waves(lateness.LambdaViews(spark, work_path(spark, "lambda-views")), _arrivals(spark, folder))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows that arrived after their hour had ended by the clock: those that correct it and those refused."""
-    late = lateness.with_lateness(_arrivals(spark, folder)).filter(F.col("lateness") != "on_time")
+    """Rows that arrived after their hour had ended by the clock: those that correct it and those refused, as logged by the
+    fast layer when they arrived."""
+    late = _layers(spark, folder).log().filter(F.col("lateness") != "on_time")
     return late.select(F.col("stream").alias("table_name"), "row_id", "lateness")
 
 
 def p2_hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The served view: provisional and corrected counts per table and hour."""
-    return lateness.lambda_view(_arrivals(spark, folder)).withColumnRenamed("stream", "table_name")
+    return _layers(spark, folder).view().withColumnRenamed("stream", "table_name")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,17 +60,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _unified(feed: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return drift.unified(table(spark, folder, "raw_messages"), feed)
+        raw = table(spark, folder, "raw_messages")
+        own = raw.filter(F.col("feed") == feed)
+        return drift.unified(raw, feed, drift.with_renames(drift.schema_changes(own), feed))
 
-    query.__doc__ = f"The feed {feed} in its constant schema."
+    query.__doc__ = f"The feed {feed} in its constant schema, with the names that its fields were renamed to on the way."
     return query
 
 
 def p3_lifespans(spark: SparkSession, folder: str) -> DataFrame:
     """The catalogue: from which to which file of its series each field had each kind of value."""
     raw = table(spark, folder, "raw_messages")
-    cells, sequence = drift.fields(raw), drift.file_sequence(raw)
-    spans = drift.lifespans(drift.footers(cells, sequence)).filter(F.col("kind") != "")
+    spans = drift.lifespans(drift.footers(raw, drift.file_sequence(raw))).filter(F.col("kind") != "")
     return spans.select("feed", "site", "field_name", "kind", F.col("first").cast("bigint").alias("first_seq"), F.col("last").cast("bigint").alias("last_seq"))
 
 

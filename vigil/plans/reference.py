@@ -96,7 +96,7 @@ def zscore_alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 def stats_idle_reset(spark: SparkSession, folder: str) -> DataFrame:
     """The same statistics, which start again after a pause longer than the time-to-live."""
-    s = detect.statistics(detect.idle_epochs(_valid(spark, folder), T.stats_ttl_ms), ("account_id", "epoch"))
+    s = detect.statistics(_valid(spark, folder), T.stats_ttl_ms)
     return s.select("event_id", "epoch", "n", _round("mean", 4).alias("mean"), _round(F.col("m2") / F.col("n"), 4).alias("variance"))
 
 
@@ -304,7 +304,7 @@ def redrive_route(spark: SparkSession, folder: str) -> DataFrame:
     topics = F.element_at(F.array(*[F.lit(x) for x in (*delivery.ALLOWED, "payment.other.DLT")]), (F.col("partition_no") + F.col("offset_no") % 2 + 1).cast("int"))
     tries = F.when(F.col("offset_no") % 6 == 5, F.lit("abc")).otherwise((F.col("offset_no") % 6).cast("string"))
     letters = table(spark, folder, "alert_messages").select("row_id", topics.alias("topic"), _headers(("trace", F.lit("t")), ("x-redrive-attempts", tries)).alias("headers"))
-    out = delivery.redrive(letters)
+    out = delivery.redrive(letters, now())
     return out.select("row_id", "topic", "dest", header_text(F.col("headers"), "x-redrive-attempts").alias("next"))
 
 

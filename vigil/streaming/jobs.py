@@ -32,11 +32,12 @@ def route(stream: DataFrame, ok: str, path: str, rejected: str, key: str, order:
 
 
 def hourly_views(stream: DataFrame, views: LambdaViews, name: str, event_time: str, arrival: str, every: int, checkpoint: str) -> StreamingQuery:
-    """Lambda views over a stream: each micro-batch goes through the fast layer, every `every`-th is followed by a recompute."""
+    """Lambda views over a stream: each micro-batch goes through the fast layer, every `every`-th is followed by a recompute.
+
+    A micro-batch that is repeated after a restart is logged once; the checkpoint and the views' path belong together."""
 
     def write(batch: DataFrame, number: int) -> None:
-        views.batches = number
-        views.add(event_log(batch, name, event_time, arrival))
+        views.add(event_log(batch, name, event_time, arrival), number)
         if (number + 1) % every == 0:
             views.recompute()
 
