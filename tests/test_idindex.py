@@ -85,12 +85,27 @@ def test_sorted_arrays_and_empty(spark):
     index = I.IdIndex(spark, work_path(spark, "ids"), prefix_bits=4)
     out = index.admit(messages(spark, random_rows(500, 200)).select("ns", "id", "row"), 0)
     for r in out.collect():
-        assert [bytes(x) for x in r["ids"]] == sorted(bytes(x) for x in r["ids"])
+        each = [bytes(r["ids"][i : i + I.WIDTH]) for i in range(0, len(r["ids"]), I.WIDTH)]
+        assert each == sorted(set(each)) and len(each) == len(r["rows"]) and len(r["ids"]) % I.WIDTH == 0
     empty = I.IdIndex(spark, work_path(spark, "ids"))
     assert I.admit_all(empty, messages(spark, []), 3).count() == 0
     assert I.prefix_bits_for(0) == 4 and I.prefix_bits_for(10**12) == 26
 
 
+def test_a_second_batch_reads_itself_and_the_index_alone(spark, tmp_path):
+    rows, path = random_rows(600, 200, 4), work_path(spark, "ids")
+    halves = [rows[:300], rows[300:]]
+    for i, half in enumerate(halves):
+        messages(spark, half).write.parquet(f"{tmp_path}/{i}")
+    outs = []
+    for i in range(2):
+        outs.append(I.IdIndex(spark, path, prefix_bits=4).admit(spark.read.parquet(f"{tmp_path}/{i}").select("ns", "id", "row"), i))
+        import shutil
+
+        shutil.rmtree(f"{tmp_path}/{i}")  # the first batch is gone when the second comes
+    check(outs[0].unionByName(outs[1]), rows)
+
+
 def test_deduplicated_tables_keep_rows_without_identifier(spark, folder):
     from vigil.plans.found import QUERIES
     from vigil.sources.tables import table

@@ -1,6 +1,6 @@
 """Exactly one copy of each message: a persisted index of identifiers seen before.
 
-Identifiers are 16 bytes. A batch is first combined to one row per identifier, map-side, so that copies of one message,
+Identifiers are 16 bytes; an array is stored as one binary value, the sorted identifiers one after the other. A batch is first combined to one row per identifier, map-side, so that copies of one message,
 however many, are not shuffled. The distinct identifiers then meet the index by hash prefix: for each prefix the index holds
 one sorted array per run, and a binary search of the batch's identifiers in these arrays tells the novel ones. Those become
 a new immutable run. Runs are merged when there are more than `max_runs`; a merged run covers the batches in its name, and
@@ -19,8 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.session import written
+
 IDS_PER_PREFIX = 20_000
-ADMITTED = "ns string, prefix int, ids array<binary>, rows array<bigint>, repeated array<binary>"
+ADMITTED = "ns string, prefix int, ids binary, rows array<bigint>, repeated array<binary>"
+WIDTH = 16
 _RUN = re.compile(r"^(batch|merged)-(\d+)-(\d+)-b(\d+)$")
 
 
@@ -35,11 +38,20 @@ def hash_prefix(ident: Column, bits: int) -> Column:
 
 
 def _keys(column: pa.ChunkedArray) -> np.ndarray:
-    """A column of 16-byte identifiers as a numpy array; as all have one length, its order is that of their bytes."""
+    """A column of 16-byte identifiers as a numpy array on the same memory; as all have one length, its order is that of
+    their bytes."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(array, pa.ChunkedArray):  # of no chunks
+        return np.empty(0, f"S{WIDTH}")
     if len(array) == 0:
-        return np.empty(0, "S16")
-    return np.frombuffer(b"".join(array.to_pylist()), "S16")
+        return np.empty(0, f"S{WIDTH}")
+    offsets = np.frombuffer(array.buffers()[1], np.int64 if pa.types.is_large_binary(array.type) else np.int32)
+    return np.frombuffer(array.buffers()[2], f"S{WIDTH}", len(array), int(offsets[array.offset]))
+
+
+def _stored(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sorted arrays of an index column."""
+    return [np.frombuffer(x.as_buffer(), f"S{WIDTH}") for x in column if x.is_valid and len(x.as_buffer())]
 
 
 def _known(ids: np.ndarray, runs: list[np.ndarray]) -> np.ndarray:
@@ -52,17 +64,28 @@ def _known(ids: np.ndarray, runs: list[np.ndarray]) -> np.ndarray:
     return found
 
 
+def _row(key: tuple, ids: np.ndarray, rows: np.ndarray, repeated: np.ndarray) -> pa.Table:
+    """One row of ADMITTED."""
+    spread = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    columns = [pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), pa.array([ids.tobytes()], pa.binary())]
+    same = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(repeated), [None, pa.py_buffer(repeated.tobytes())]).cast(pa.binary())
+    return pa.table([*columns, spread(pa.array(rows, pa.int64())), spread(same)], ["ns", "prefix", "ids", "rows", "repeated"])
+
+
 def _admit(key: tuple, batch: pa.Table, index: pa.Table | None) -> pa.Table:
     """One prefix of a batch against the index's arrays for that prefix."""
-    ids = _keys(batch["id"])
+    ids, rows = _keys(batch["id"]), batch["row"].to_numpy()
     order = np.argsort(ids, kind="stable")
-    runs = [_keys(x.values) for x in index["ids"]] if index is not None else []
-    known = _known(ids, runs)
+    known = _known(ids, _stored(index["ids"]) if index is not None else [])
     novel = order[~known[order]]
-    repeated = np.flatnonzero(known | (batch["n"].to_numpy() > 1))
-    pick = lambda name, rows, kind: pa.array([batch[name].take(pa.array(rows)).to_pylist()], pa.list_(kind))
-    columns = [pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), pick("id", novel, pa.binary()), pick("row", novel, pa.int64()), pick("id", repeated, pa.binary())]
-    return pa.table(columns, ["ns", "prefix", "ids", "rows", "repeated"])
+    return _row(key, ids[novel], rows[novel], ids[known | (batch["n"].to_numpy() > 1)])
+
+
+def _merge(key: tuple, index: pa.Table) -> pa.Table:
+    """One prefix's arrays of several runs as one array."""
+    runs = _stored(index["ids"])
+    ids = np.sort(np.concatenate(runs), kind="stable") if runs else np.empty(0, f"S{WIDTH}")
+    return _row(key, ids, np.empty(0, np.int64), np.empty(0, f"S{WIDTH}"))
 
 
 class IdIndex:
@@ -102,8 +125,8 @@ class IdIndex:
             return self.spark.read.schema(ADMITTED).parquet(done[0][4])
         if any(r[3] != self.bits for r in self.live()):
             self.merge()
-        local = batch.groupBy("ns", hash_prefix(F.col("id"), self.bits).alias("prefix"), "id").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
-        groups = local.groupBy("ns", "prefix")
+        local = batch.groupBy("ns", "id").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
+        groups = local.withColumn("prefix", hash_prefix(F.col("id"), self.bits)).groupBy("ns", "prefix")
         if runs := self.live():
             index = self.spark.read.schema(ADMITTED).parquet(*[r[4] for r in runs]).select("ns", "prefix", "ids")
             admit = lambda key, left, right: _admit(key, left, right)
@@ -119,19 +142,26 @@ class IdIndex:
     def merge(self) -> None:
         """Merge all live runs into one, at the present number of prefixes."""
         runs = self.live()
-        ids = self.spark.read.schema(ADMITTED).parquet(*[r[4] for r in runs]).select("ns", F.explode("ids").alias("id"))
-        arrays = ids.groupBy("ns", hash_prefix(F.col("id"), self.bits).alias("prefix")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        arrays = self.spark.read.schema(ADMITTED).parquet(*[r[4] for r in runs]).select("ns", "prefix", "ids")
+        if any(r[3] != self.bits for r in runs):
+            places = F.sequence(F.lit(0), F.floor(F.length("ids") / WIDTH).cast("int") - 1)
+            each = F.explode(F.transform(places, lambda i: F.substring(F.col("ids"), i * WIDTH + 1, F.lit(WIDTH)))).alias("ids")
+            arrays = arrays.filter(F.length("ids") > 0).select("ns", each).withColumn("prefix", hash_prefix(F.col("ids"), self.bits))
+        merged = arrays.groupBy("ns", "prefix").applyInArrow(lambda key, left: _merge(key, left), ADMITTED)
         first, last = min(r[1] for r in runs), max(r[2] for r in runs)
-        arrays.write.mode("overwrite").parquet(f"{self.path}/merged-{first:06d}-{last:06d}-b{self.bits:02d}")
+        merged.write.mode("overwrite").parquet(f"{self.path}/merged-{first:06d}-{last:06d}-b{self.bits:02d}")
 
 
 def _nothing() -> pa.Table:
-    kinds = [pa.string(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+    kinds = [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary())]
     return pa.table([pa.array([], k) for k in kinds], ["ns", "prefix", "ids", "rows", "repeated"])
 
 
 def in_waves(messages: DataFrame, waves: int) -> list[DataFrame]:
-    """Split (ns, id, row, batch) by batch number into `waves` parts in order; null batches come first. No row is left out."""
+    """Split (ns, id, row, batch) by batch number into `waves` parts in order; null batches come first. No row is left out.
+
+    Apart from the numbers, messages are read once: they are put down by wave, and each part reads its own.
+    """
     if waves <= 1:
         return [messages]
     ends = {r["ns"]: (r["lo"], r["hi"]) for r in messages.groupBy("ns").agg(F.min("batch").alias("lo"), F.max("batch").alias("hi")).collect()}
@@ -139,14 +169,18 @@ def in_waves(messages: DataFrame, waves: int) -> list[DataFrame]:
     for ns, (lo, hi) in ends.items():
         if lo is not None:
             number = F.when(F.col("ns") == ns, F.least(F.lit(waves - 1), F.floor((F.col("batch") - lo) * waves / (hi - lo + 1)))).otherwise(number)
-    return [messages.filter(F.coalesce(number, F.lit(0)) == i) for i in range(waves)]
+    landed = written(messages.withColumn("__wave", F.coalesce(number, F.lit(0)).cast("int")), "waves", by="__wave")
+    return [landed.filter(F.col("__wave") == i).drop("__wave") for i in range(waves)]
+
 
+def admit_all(index: IdIndex, messages: DataFrame, waves: int = 6) -> DataFrame:
+    """Admit (ns, id, row, batch) wave by wave; the outcomes of all waves, as of IdIndex.admit. Rows with a null id are left out.
 
-def admit_all(index: IdIndex, messages: DataFrame, waves: int = 3) -> DataFrame:
-    """Admit (ns, id, row, batch) wave by wave; the outcomes of all waves, as of IdIndex.admit."""
+    Six waves are more than an index keeps as runs of their own, so that the last ones are searched for in a merged run.
+    """
     out = None
     for i, wave in enumerate(in_waves(messages, waves)):
-        admitted = index.admit(wave.select("ns", "id", "row"), i)
+        admitted = index.admit(wave.filter(F.col("id").isNotNull()).select("ns", "id", "row"), i)
         out = admitted if out is None else out.unionByName(admitted)
     return out
 

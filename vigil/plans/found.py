@@ -79,14 +79,15 @@ DEDUPLICATED = ("alert_messages", "processed_alerts", "triaged_alerts")
 
 
 def _admitted(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
-    """The outcome of admitting the tables to a new index, in three batches each that follow the numbers of reading."""
+    """The outcome of admitting the tables to a new index, in batches that follow the numbers of reading, runs being merged
+    on the way."""
     messages = None
     for name in names:
         rows = table(spark, folder, name).select(F.lit(name).alias("ns"), uuid_bytes(canonical_uuid(F.col("alert_id"))).alias("id"), F.col("row_id").alias("row"), F.col("batch_id").alias("batch"))
         messages = rows if messages is None else messages.unionByName(rows)
     total = sum(table(spark, folder, name).count() for name in names)
     index = idindex.IdIndex(spark, work_path(spark, "id-index"), idindex.prefix_bits_for(total))
-    return idindex.admit_all(index, messages.filter(F.col("id").isNotNull()))
+    return idindex.admit_all(index, messages)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
