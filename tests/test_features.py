@@ -43,6 +43,35 @@ def test_latest_is_recomputed_where_it_was_retracted(spark):
     assert as_dict(state(spark, [*rows, ("2", 5, "a", "x", 30, 1)])) == {("a", "x"): (3, 30), ("b", "x"): (1, 5)}
 
 
+def test_a_store_kept_batch_by_batch_equals_counting_anew(spark, tmp_path):
+    import shutil
+
+    from vigil.session import work_path
+
+    for seed, max_runs in ((5, 2), (6, 9)):
+        r, path = random.Random(seed), work_path(spark, "store")
+        rows = [(f"i{r.randrange(120)}", i, r.choice(["hot", "hot", "a", "b", None]), r.choice(["x", "y", None]), r.choice([None, *range(20)]), i // 100) for i in range(500)]
+        for number in range(5):
+            of = [x for x in rows if x[5] == number]
+            spark.createDataFrame(of, EVENTS).write.parquet(f"{tmp_path}/{seed}-{number}")
+            store = X.FeatureStore(spark, path, max_runs)
+            for _ in range(2):  # a batch that comes again is not added again
+                store.add(spark.read.parquet(f"{tmp_path}/{seed}-{number}").drop("batch"), number)
+            shutil.rmtree(f"{tmp_path}/{seed}-{number}")  # later batches do not read it
+            assert as_dict(X.FeatureStore(spark, path).state()) == brute([x for x in rows if x[5] <= number])
+
+
+def test_an_older_version_that_comes_later_changes_nothing(spark):
+    from vigil.session import work_path
+
+    store = X.FeatureStore(spark, work_path(spark, "store"))
+    store.add(spark.createDataFrame([("1", 5, "a", "x", 10, 0), ("2", 6, "a", "x", 3, 0)], EVENTS).drop("batch"), 0)
+    store.add(spark.createDataFrame([("1", 4, "b", "y", 99, 1)], EVENTS).drop("batch"), 1)
+    assert as_dict(store.state()) == {("a", "x"): (2, 10)}
+    store.add(spark.createDataFrame([("1", 7, "b", "y", 1, 2)], EVENTS).drop("batch"), 2)
+    assert as_dict(store.state()) == {("a", "x"): (1, 3), ("b", "y"): (1, 1)}
+
+
 def test_table_with_names_that_differ_in_signs_or_case(spark):
     names = ["geo", "GEO", "geo.", "geo ", "Geo/1h", "geo_1h"]
     rows = [(str(i), i, "a", n, i, 0) for i, n in enumerate(names)] + [("n", 99, "a", None, 99, 0), ("m", 98, None, "geo", 98, 1)]
@@ -64,10 +93,12 @@ def test_empty(spark):
 def test_wide_equals_long_on_test_data(spark, folder):
     from vigil.plans.found import QUERIES
 
-    wide = {r["account_id"]: r.asDict() for r in QUERIES["p5_features"](spark, folder).collect()}
+    table = QUERIES["p5_features"](spark, folder)
+    table = table.select(*[F.unix_micros(c).alias(c) if kind == "timestamp" else c for c, kind in table.dtypes])
+    wide = {r["account_id"]: r.asDict() for r in table.collect()}
     total = 0
     for r in QUERIES["p5_features_long"](spark, folder).collect():
         row = wide[r["account_id"]]
-        assert row[X.feature_column("n", r["rule_name"])] == r["n"] and row[X.feature_column("latest_us", r["rule_name"])] == r["latest_us"]
+        assert row[X.feature_column("n", r["rule_name"])] == r["n"] and row[X.feature_column("latest", r["rule_name"])] == r["latest_us"]
         total += r["n"]
     assert total == sum(r["n_total"] for r in wide.values())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.ids import canonical_uuid, uuid_bytes, with_hyphens
 from vigil.operators import drift, features, idindex, lateness, skew
-from vigil.session import work_path, written
+from vigil.session import work_path
 from vigil.sources.tables import table
 
 
@@ -108,7 +108,7 @@ def _once(name: str):
 
 
 def _feature_state(spark: SparkSession, folder: str) -> DataFrame:
-    """State of processed_alerts: loaded up to the middle batch, the later batches applied as signed deltas."""
+    """State of processed_alerts, kept by a store: the batches up to the middle are loaded, the later ones added as signed deltas."""
     rows = table(spark, folder, "processed_alerts")
     own = F.encode(F.concat(F.lit("row "), F.col("row_id")), "UTF-8")
     events = rows.select(
@@ -117,18 +117,24 @@ def _feature_state(spark: SparkSession, folder: str) -> DataFrame:
         F.col("account_id").alias("entity"),
         F.col("rule_name").alias("type"),
         F.unix_micros("produced_at").alias("at_us"),
-        F.coalesce(F.col("batch_id"), F.lit(0)).alias("batch"),
+        "batch_id",
     )
-    middle = events.agg(((F.min("batch") + F.max("batch")) / 2).alias("m")).first()["m"] or 0
-    of = written(features.versions(events, F.col("batch") > middle), "versions")
-    return features.apply_deltas(features.state_of("before", of), features.signed_deltas(of), of.select("now.*"))
+    middle = rows.agg(((F.min("batch_id") + F.max("batch_id")) / 2).alias("m")).first()["m"] or 0
+    store = features.FeatureStore(spark, work_path(spark, "feature-store"))
+    late = F.coalesce(F.col("batch_id") > middle, F.lit(False))
+    for number, part in enumerate((events.filter(~late), events.filter(late))):
+        store.add(part.drop("batch_id"), number)
+    return store.state()
 
 
 def p5_features(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per account: totals, then the count and the latest time of every rule that is listed or has fired."""
-    state = written(_feature_state(spark, folder), "feature-state")
+    """One row per account: totals, then the count and the latest time of every rule that is listed or has fired; null times
+    and counts of 0 where it has not."""
+    state = _feature_state(spark, folder)
     names = features.type_names(state, table(spark, folder, "detector_rules").select("rule_name"))
-    return features.feature_table(state, names).withColumnRenamed("entity", "account_id")
+    wide = features.feature_table(state, names)
+    at = lambda c: F.timestamp_micros(c).alias(c.replace("latest_us_", "latest_").replace("_us", ""))
+    return wide.select(F.col("entity").alias("account_id"), *[at(c) if c.startswith("latest_") else F.col(c) for c in wide.columns[1:]])
 
 
 def p5_features_long(spark: SparkSession, folder: str) -> DataFrame:

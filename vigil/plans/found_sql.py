@@ -24,6 +24,17 @@ _REPEATED = " UNION ALL ".join(
 _LATEST = f"""SELECT account_id, rule_name, epoch_us(produced_at) AS ts FROM (
  SELECT *, row_number() OVER (PARTITION BY coalesce({_UUID}, 'row ' || row_id) ORDER BY row_id DESC) AS nth FROM processed_alerts) WHERE nth = 1"""
 
+#: A name as part of a column: a readable part and a hash.
+_SLUG = r"left(trim(regexp_replace(lower(rule_name), '[^a-z0-9]+', '_', 'g'), '_'), 40) || '_' || left(sha1(rule_name), 8)"
+_WIDE = f"""WITH latest AS ({_LATEST}),
+ counted AS (SELECT account_id, {_SLUG} AS slug, count(*) AS n, max(ts) AS latest_us FROM latest WHERE rule_name IS NOT NULL GROUP BY account_id, rule_name),
+ cells AS (SELECT coalesce(account_id, '<null>') AS account_id, 'n_' || slug AS name, n AS v FROM counted
+ UNION ALL SELECT coalesce(account_id, '<null>'), 'latest_' || slug, latest_us FROM counted
+ UNION ALL SELECT coalesce(account_id, '<null>'), 'n_total', count(*) FROM latest GROUP BY account_id
+ UNION ALL SELECT coalesce(account_id, '<null>'), 'latest_total', max(ts) FROM latest GROUP BY account_id
+ UNION ALL SELECT '<listed>', prefix || {_SLUG}, NULL FROM detector_rules, (VALUES ('n_'), ('latest_')) AS p(prefix))
+ SELECT nullif(account_id, '<null>') AS account_id, coalesce(COLUMNS('^n_'), 0), make_timestamp(COLUMNS('^latest_')) FROM (PIVOT cells ON name USING max(v) GROUP BY account_id) WHERE account_id <> '<listed>'"""
+
 _CELLS = """b AS (SELECT feed, site, file_no, line_no, body::JSON AS j FROM raw_messages WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
  c AS (SELECT feed, site, file_no, line_no, key AS name, value AS v, CASE WHEN type = 'VARCHAR' THEN 'text' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'ARRAY' THEN 'list'
  WHEN type = 'OBJECT' THEN 'object' WHEN type = 'NULL' THEN NULL ELSE 'number' END AS kind FROM (SELECT b.*, unnest(json_keys(j)) AS key, json_extract(j, '$."' || unnest(json_keys(j)) || '"') AS value,
@@ -64,6 +75,7 @@ SQL = {
  CASE WHEN any_value(top) >= e + 21600000000 THEN 'frozen' WHEN any_value(top) >= e THEN 'closed' ELSE 'open' END AS state
  FROM l JOIN last USING (table_name) GROUP BY table_name, e""",
     "p4_found": _REPEATED,
+    "p5_features": _WIDE,
     "p5_features_long": f"SELECT account_id, rule_name, count(*) AS n, max(ts) AS latest_us FROM ({_LATEST}) GROUP BY account_id, rule_name",
 }
 _TIMES = {"alert_messages": ("received_at", "produced_at"), "processed_alerts": ("produced_at", "acted_at"), "triaged_alerts": ("created_at", "triaged_at")}
