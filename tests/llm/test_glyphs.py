@@ -11,7 +11,24 @@ T = G.transducer()
 
 def slow(text):
     """The same in several passes over the whole text."""
-    text = "".join(c for c in text if c not in T.widthless).replace("\r\n", "\n")
+    kept, i = [], 0
+    while i < len(text):
+        if text[i] not in T.widthless:
+            kept.append(text[i])
+            i += 1
+            continue
+        end = i
+        while end < len(text) and text[end] in T.widthless:
+            end += 1
+        run, before, after = text[i:end], text[i - 1 : i], text[end : end + 1]
+        tags = len(run) - len(run.lstrip("".join(map(chr, range(0xE0020, 0xE0080)))))
+        if before == "\U0001f3f4":
+            kept.append(run[:tags])
+            run, before = run[tags:], before if not tags else ""
+        if before and after and "\u200d" in run and G.is_pictograph(before) and G.is_pictograph(after):
+            kept.append("\u200d")
+        i = end
+    text = "".join(kept).replace("\r\n", "\n")
     out = []
     for c in text:
         wide = ud.decomposition(c)
@@ -21,7 +38,7 @@ def slow(text):
     return ud.normalize("NFC", "".join(T.letters.get(c, c) for c in ud.normalize("NFD", "".join(out))))
 
 
-SIGNS = st.one_of(st.characters(exclude_categories=["Cn", "Co", "Cs"]), st.sampled_from([*T.base, *T.widthless]), st.sampled_from("aе́̈\r\n\t 가ᅡᆨｶﾞ゙ ​"))
+SIGNS = st.one_of(st.sampled_from("\U0001f468\u200d\U0001f469\U0001f3f4\U000e0067\U000e007f\u202e\ufe0f\u0301"), st.characters(exclude_categories=["Cn", "Co", "Cs"]), st.sampled_from([*T.base, *T.widthless]), st.sampled_from("aе́̈\r\n\t 가ᅡᆨｶﾞ゙ ​"))
 
 
 @settings(max_examples=400, deadline=None)
@@ -51,6 +68,32 @@ def test_not_the_same(a, b):
     assert T.apply(a) != T.apply(b)
 
 
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [("pay \u202eabc", "pay abc"), ("\U0001f468\u200d\U0001f469", "\U0001f468\U0001f469"), ("\U0001f3f4\U000e0067\U000e0062\U000e007f", "\U0001f3f4"), ("\U0001d400", "A")],
+)
+def test_signs_without_width_that_are_seen(a, b):
+    assert T.apply(a) != T.apply(b) and T.apply(a) == a
+
+
+@pytest.mark.parametrize(("a", "b"), [("ӏ", "l"), ("ρ", "p"), ("օ", "o"), ("Ꭺ", "A"), ("∶", ":"), ("Ð", "Đ"), ("ә", "ə"), ("\U0001f468\u200b\u200d\u2060\U0001f469", "\U0001f468\u200d\U0001f469"), ("ꓐ", "В")])
+def test_further_look_alikes(a, b):
+    assert T.apply(a) == T.apply(b)
+
+
+def test_copies_are_spread_in_parts(spark):
+    rows = list(enumerate(["hot"] * 30 + ["һot"] * 20 + ["hоt"] * 5))
+    df = spark.createDataFrame([(i, t, None, None) for i, t in rows], DOCS)
+    got = [tuple(r) for r in G.look_alike_pairs(df).collect()]
+    assert len(got) == len(set(got)) == 30 * 20 + 30 * 5 + 20 * 5 and set(got) == pairs_of(rows)
+
+
+def test_the_form_is_made_once(spark, tmp_path):
+    spark.createDataFrame([(1, "é", None, None)], DOCS).write.parquet(f"{tmp_path}/d")
+    plan = G.look_alike_pairs(spark.read.parquet(f"{tmp_path}/d"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan  # what is joined and filtered has been put down
+
+
 def test_null_empty_and_very_long():
     assert T.apply(None) is None and T.apply("") == "" and T.apply("​⁠") == ""
     assert T.apply("aé" * 500_000) == "aé" * 500_000

@@ -1,19 +1,23 @@
 """One consistent form for texts that look the same.
 
-A transducer over grapheme clusters reads a text once, left to right. At each place it takes the longest match: a line break
-written as two characters, else a character with all marks and widthless signs that follow it, else one character that has
-an image of its own; everything else passes unread. A cluster's image is looked up in a table that is computed beforehand
-from Unicode data and the fixed look-alikes below; clusters with several marks are composed from it and remembered.
+A transducer over grapheme clusters reads a text once, left to right. Text between special characters passes unread. At each
+stretch of them it takes the longest match: a line break written as two characters, else a character with all marks and
+widthless signs that follow it, else one character that has an image of its own. A cluster's image is looked up in a table
+that is computed beforehand from Unicode data and the fixed look-alikes below; clusters with several marks are composed
+from it. The images of whole stretches are remembered, as words repeat.
 
 What is the same: full- and half-width forms, composed and decomposed accents, signs without width (absent or present),
-all sorts of blank, line breaks however written, and Latin, Greek and Cyrillic letters drawn the same. What is not: case,
-accents, superscripts, circled or roman numerals, ligatures, the number of blanks and line breaks.
+all sorts of blank, line breaks however written, and letters and points of different alphabets drawn the same. What is not:
+case, accents, superscripts, circled or roman numerals, ligatures, mathematical alphabets, the number of blanks and line breaks.
+Signs without width that change what is seen stay: overrides of the direction of writing, the joiner between two pictographs
+(a family is not two persons), and the tags that make a flag of the black one.
 
 Null stays null and the empty text stays empty. The form is idempotent: applied twice it changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 import unicodedata as ud
@@ -22,7 +26,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
 from vigil.session import written
 
@@ -30,17 +34,33 @@ from vigil.session import written
 LOOK_ALIKES = [
     ("АВЕЅІЈКМНОРСТХԚԜ", "ABESIJKMHOPCTXQW"),  # Cyrillic capitals
     ("аеорсухѕіјһԁԛԝ", "aeopcyxsijhdqw"),  # Cyrillic small letters
+    ("ӀѴҮԌ", "IVYG"),  # further Cyrillic capitals: palochka, izhitsa, straight u, komi sje
+    ("ӏѵ", "lv"),  # further Cyrillic small letters
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),  # Greek capitals
-    ("οϲϳ", "ocj"),  # Greek small letters
+    ("οϲϳρ", "ocjp"),  # Greek small letters
+    ("ՕՍՏԼ", "OUSL"),  # Armenian capitals
+    ("օոսհցզ", "onuhgq"),  # Armenian small letters
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),  # Cherokee
+    ("ꓐꓚꓓꓝꓖꓧꓙꓗꓡꓟꓠꓳꓑꓢꓔꓴꓦꓪꓫꓬꓜ", "BCDFGHJKLMNOPSTUVWXYZ"),  # Lisu
+    ("ÐƉ", "ĐĐ"),  # eth and African d, drawn like d with stroke
+    ("әǝӘ", "əəƏ"),  # schwa
+    ("ӨөƩԐԑ", "ƟɵΣƐɛ"),  # barred o, esh, reversed ze
+    ("∶꞉։", ":::"),  # ratio sign, modifier colon, Armenian full stop
+    ("․∕∣ǀ", "./||"),  # one dot leader, division slash, divides, dental click
     ("ϹͿ", "CJ"),  # Greek capitals: lunate sigma, yot
     ("ГПФ", "ΓΠΦ"),  # Cyrillic capitals like Greek ones
     ("µ", "μ"),  # micro sign
     ("‐‑", "--"),  # hyphen, non-breaking hyphen
 ]
+#: Parts into which the copies of one text are split while pairs are made.
+SALTS = 8
 LINE_BREAKS = "\n\r\v\f\x85\u2028\u2029"
 #: Format characters that are drawn.
 _DRAWN = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 #: Without width although no format characters: grapheme joiner, Hangul fillers, Khmer inherent vowels, variation selectors.
+_OVERRIDES = {0x202D, 0x202E}
+_JOINER, _FLAG = "\u200d", "\U0001f3f4"
+_TAGS = re.compile("[\U000e0020-\U000e007f]+")
 _WIDTHLESS = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 #: Blanks that Unicode does not class as such: tab, Hangul fillers with width, empty Braille cell. The Ogham mark is drawn.
 _BLANKS = {0x9, 0x3164, 0xFFA0, 0x2800}
@@ -52,7 +72,7 @@ _HANGUL_JOINED = [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]
 def is_widthless(ch: str) -> bool:
     """Whether a sign takes no room and shows nothing."""
     code, kind = ord(ch), ud.category(ch)
-    return code in _WIDTHLESS or kind == "Cf" and code not in _DRAWN or kind == "Cc" and ch not in LINE_BREAKS and ch != "\t"
+    return code in _WIDTHLESS or kind == "Cf" and code not in _DRAWN | _OVERRIDES or kind == "Cc" and ch not in LINE_BREAKS and ch != "\t"
 
 
 def is_blank(ch: str) -> bool:
@@ -60,6 +80,11 @@ def is_blank(ch: str) -> bool:
     return ord(ch) in _BLANKS or ud.category(ch) == "Zs" and ord(ch) not in _NOT_BLANK
 
 
+def is_pictograph(ch: str) -> bool:
+    """Whether a sign is a pictograph, or a skin tone or sign of sex that goes with one."""
+    return 0x1F000 <= ord(ch) <= 0x1FAFF or 0x2600 <= ord(ch) <= 0x27BF
+
+
 class Transducer:
     """The compiled transducer. Compiling checks the tables for conflicts and raises ValueError if there is one."""
 
@@ -86,10 +111,15 @@ class Transducer:
         for ch in self.base.values():
             if self._single(ch[0]) != ch[0] and len(ch) == 1:
                 raise ValueError(f"the image {ch!r} has another image")
-        follows = self._class(joined | self.widthless)
-        own = self._class(set(self.base) | self.widthless)
-        self.match = re.compile(rf"\r{self._class(self.widthless)}*\n|(?s:.){follows}+|{own}")
-        self.cluster = lru_cache(maxsize=200_000)(self._cluster)
+        self.follows = frozenset(joined | self.widthless)
+        own = set(self.base) | self.widthless
+        follows, widthless = self._class(self.follows), self._class(self.widthless)
+        self.match = re.compile(rf"\r{widthless}*\n|(?s:.){follows}+|{self._class(own)}")
+        special = self._class(own | self.follows)
+        self.special = re.compile(rf"(?:{special}+\n?)+")
+        self.only_widthless = re.compile(rf"{widthless}+")
+        self.cluster = lru_cache(maxsize=50_000)(self._cluster)
+        self.stretch = lru_cache(maxsize=200_000)(lambda text: self.match.sub(lambda m: self.cluster(m[0]), text))
 
     @staticmethod
     def _class(chars: set[str]) -> str:
@@ -141,7 +171,27 @@ class Transducer:
         """The consistent form of a text."""
         if text is None or text.isascii() and not _ASCII_ODD.search(text):
             return text
-        return self.match.sub(lambda m: self.cluster(m[0]), text)
+        out, at, follows = [], 0, self.follows
+        for m in self.special.finditer(text):
+            a, b = m.span()
+            run = m[0]
+            if a > at and run[0] in follows:
+                a -= 1
+                if text[a] == _FLAG and (tags := _TAGS.match(text, a + 1)):
+                    out.append(text[at : tags.end()])
+                    at, a, run = tags.end(), tags.end(), text[tags.end() : b]
+                elif _JOINER in run and b < len(text) and is_pictograph(text[a]) and is_pictograph(text[b]) and self.only_widthless.fullmatch(run):
+                    out.append(text[at : a + 1])
+                    out.append(_JOINER)
+                    at = b
+                    continue
+                else:
+                    run = text[a:b]
+            out.append(text[at:a])
+            out.append(self.stretch(run) if len(run) <= 64 else self.match.sub(lambda m: self.cluster(m[0]) if len(m[0]) <= 64 else self._cluster(m[0]), run))
+            at = b
+        out.append(text[at:])
+        return "".join(out)
 
 
 _ASCII_ODD = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
@@ -153,10 +203,26 @@ def transducer() -> Transducer:
     return Transducer()
 
 
+def _each(texts: pd.Series, image) -> pd.Series:
+    """image of every text, null for null; copies within a batch are done once."""
+    places, distinct = pd.factorize(texts)
+    images = [image(t) for t in distinct]
+    return pd.Series([images[i] if i >= 0 else None for i in places], dtype=object)
+
+
 @F.pandas_udf(StringType())
 def _consistent(texts: pd.Series) -> pd.Series:
-    apply = transducer().apply
-    return texts.map(lambda t: apply(t) if isinstance(t, str) else None)
+    return _each(texts, transducer().apply)
+
+
+def _digest(text: str) -> bytes | None:
+    form = transducer().apply(text)
+    return hashlib.md5(form.encode("utf-8", "surrogatepass")).digest() if form.strip(" \n") else None
+
+
+@F.pandas_udf(BinaryType())
+def _form_digest(texts: pd.Series) -> pd.Series:
+    return _each(texts, _digest)
 
 
 def consistent(text: Column | str) -> Column:
@@ -164,23 +230,30 @@ def consistent(text: Column | str) -> Column:
     return _consistent(text)
 
 
+def form_digest(text: Column | str) -> Column:
+    """128 bits of the consistent form; null where the form has nothing visible."""
+    return _form_digest(text)
+
+
 def look_alike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents whose stored texts differ but have one consistent form with something visible.
 
-    Forms and texts are compared by 128-bit hashes. Classes with one stored text, however many copies, are dropped by a
-    combined minimum and maximum before any join; pairs are made between distinct stored texts and only then spread to
-    documents, in salted parts. So copies of one text cost nothing, and the work follows the result.
+    Forms and texts are compared by 128-bit hashes. Every form is made once and put down before anything is filtered by it.
+    Classes with one stored text, however many copies, are dropped by a combined minimum and maximum before any join; pairs are
+    made between distinct stored texts and only then spread to documents, in salted parts on both sides. So copies of one text
+    cost nothing, and the work follows the result.
     """
-    form = F.col("form")
-    formed = docs.select(F.col(key).alias("id"), F.col(text).alias("stored")).filter(F.col("stored").isNotNull()).withColumn("form", consistent("stored"))
-    visible = formed.filter(F.length(F.translate(form, " \n", "")) > 0)
-    cells = written(visible.select("id", F.unhex(F.md5(form)).alias("form"), F.unhex(F.md5("stored")).alias("stored")), "forms")
+    stored = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), form_digest(text).alias("form"), F.unhex(F.md5(text)).alias("stored"))
+    cells = written(stored, "forms").filter(F.col("form").isNotNull())
     several = cells.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo != hi").select("form")
-    among = cells.join(several, "form", "left_semi")
+    among = written(cells.join(several, "form", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")), "among")
     texts = among.groupBy("form", "stored").agg(F.lit(1).alias("one")).drop("one")
     left, right = texts.withColumnRenamed("stored", "a"), texts.withColumnRenamed("stored", "b")
-    pairs = left.join(right, "form").filter("a < b").select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
-    salted = among.select("id", "stored", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int").alias("salt"))
-    one = pairs.join(salted.select("salt", F.col("stored").alias("a"), F.col("id").alias("id_a")), ["salt", "a"])
-    two = one.select("b", "id_a").join(among.select(F.col("stored").alias("b"), F.col("id").alias("id_b")), "b")
+    pairs = left.join(right, "form").filter("a < b").select("a", "b", _salts())
+    one = pairs.join(among.select("salt", F.col("stored").alias("a"), F.col("id").alias("id_a")), ["salt", "a"]).select("b", "id_a", _salts())
+    two = one.join(among.select("salt", F.col("stored").alias("b"), F.col("id").alias("id_b")), ["salt", "b"])
     return two.select(F.least("id_a", "id_b").alias(f"{key}_a"), F.greatest("id_a", "id_b").alias(f"{key}_b"))
+
+
+def _salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
