@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.ids import uuid5
-from vigil.functions.text import attempts, header_text, with_header, without_headers
+from vigil.functions.text import attempts, header_text, with_header, with_header_if, without_headers
 from vigil.model import ALERT_NAMESPACE
 
 MAX_ATTEMPTS = 5
@@ -18,6 +18,55 @@ REDRIVE_HEADERS = ["x-redrive-attempts", "x-redrive-at", "x-redrive-origin"]
 ALLOWED = {"payment.events.DLT": "payment.events", "payment.alerts.DLT": "payment.alerts", "payment.alerts.triage.DLT": "payment.alerts"}
 
 
+#: What becomes of a record by its fault: action, tries more before it, and the pause between tries in ms. Fixed values.
+TERMINAL = {
+    "none": ("ack", 0, 0),
+    "tombstone": ("ack", 0, 0),
+    "undecodable": ("dead-letter", 0, 0),
+    "invalid": ("dead-letter", 0, 0),
+    "rate-breach": ("dead-letter", 0, 0),
+    "contract-violation": ("dead-letter", 0, 0),
+    "circuit-open": ("hold", 0, 0),
+    "not-durable": ("dead-letter", 0, 0),
+    "gate-error": ("dead-letter", 2, 100),
+    "listener-error": ("dead-letter", 2, 1000),
+}
+#: The triage's own dead letters go here, whichever topic they came from. Fixed value.
+TRIAGE_DEAD_LETTERS = "payment.alerts.triage.DLT"
+UNDURABLE = "ALERT_UNDURABLE"
+
+
+def terminal_path(df: DataFrame, fault: Column, published: Column) -> DataFrame:
+    """df with action (ack, dead-letter, hold), retries, backoff_ms and acked: a dead letter's record is acknowledged only if the
+    letter was published, a held record stays open. A null fault is none, an unknown one a listener's error."""
+    of = F.coalesce(fault, F.lit("none"))
+    of = F.when(of.isin(*TERMINAL), of).otherwise("listener-error")
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for name, row in TERMINAL.items() for x in (name, row[i])]), of)
+    out = df.withColumn("action", pick(0)).withColumn("retries", pick(1)).withColumn("backoff_ms", pick(2))
+    acked = (F.col("action") == "ack") | ((F.col("action") == "dead-letter") & F.coalesce(published, F.lit(False)))
+    return out.withColumn("acked", acked)
+
+
+def outcome_headers(headers: Column, rule: Column, reason: Column) -> Column:
+    """The headers with the outcome of an alert that fired but could not be made durable, from which reconstruct() builds it
+    anew. Without a rule nothing is stamped."""
+    stamped = with_header_if(with_header(with_header(headers, "x-rpe-outcome", F.lit(UNDURABLE)), "x-rpe-rule", rule), "x-rpe-reason", reason)
+    return F.when(rule.isNull(), headers).otherwise(stamped)
+
+
+def dead_letters(rejected: DataFrame, topic: Column, pinned: str | None = None) -> DataFrame:
+    """rejected (key, value, headers, ...) with topic and partition of their dead letters: <topic>.DLT or the pinned one, any
+    partition (-1). Key, value and headers go as they came."""
+    return rejected.withColumn("topic", F.lit(pinned) if pinned else F.concat(topic, F.lit(".DLT"))).withColumn("partition", F.lit(-1))
+
+
+def insert_rows(incoming: DataFrame, existing: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """(key, order, columns) of what an insert that ignores conflicts would add; ties in order go by the columns."""
+    first = F.min(F.struct(order, *columns)).alias("__first")
+    new = incoming.filter(F.col(key).isNotNull()).groupBy(key).agg(first).join(existing.select(key), key, "left_anti")
+    return new.select(key, "__first.*")
+
+
 def insert_if_absent(incoming: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
     """(key, order) of what an insert that ignores conflicts would add: per key not yet there its first incoming row.
 
@@ -77,7 +126,7 @@ def reconstruct(blocked: DataFrame) -> DataFrame:
     """
     header = lambda name: header_text(F.col("headers"), name)
     rule, reason = header("x-rpe-rule"), F.coalesce(header("x-rpe-reason"), F.lit("reconstructed-from-redrive"))
-    can = (header("x-rpe-outcome") == "ALERT_UNDURABLE") & rule.isNotNull()
+    can = (header("x-rpe-outcome") == UNDURABLE) & rule.isNotNull()
     action = F.when(header("x-redrive-attempts").isNull(), "ack").when(can, "emit").otherwise("dead-letter")
     out = blocked.withColumn("action", action)
     emit = F.col("action") == "emit"

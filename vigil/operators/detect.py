@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from vigil.functions.geo import haversine_km, speed_kmh
 from vigil.functions.ids import uuid5
+from vigil.functions.text import instant_text
 from vigil.model import ALERT_NAMESPACE, Thresholds
 from vigil.operators.folds import capped_welford, dedup_ttl
 from vigil.operators.running import BLOCK_MS, prior_in_window, running, statistics
 from vigil.session import written
 
-__all__ = ["BLOCK_MS", "alert_reason", "alerts", "clean_reason", "fresh", "geo_fires", "idle_epochs", "judge", "movement", "statistics", "velocity", "velocity_fires", "zscore", "zscore_fires"]
+__all__ = ["BLOCK_MS", "account_flags", "alert_reason", "alerts", "clean_reason", "fresh", "geo_fires", "idle_epochs", "judge", "movement", "outbox_rows", "statistics", "velocity", "velocity_fires", "zscore", "zscore_fires"]
 #: What the speed rule needs of the event before.
 _PLACE = {"prev": ["lat", "lon", "ms"]}
 
@@ -102,10 +103,11 @@ def alert_reason(t: Thresholds) -> Column:
     return out
 
 
-def alerts(judged: DataFrame, t: Thresholds, exempt: Column | None = None, more: list[tuple[str, Column, Column]] | None = None) -> DataFrame:
+def alerts(judged: DataFrame, t: Thresholds, exempt: Column | None = None, more: list[tuple[str, Column, Column]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """At most one alert per event, of the first rule that fires (velocity, z-score, geo), under a deterministic id.
 
-    `more` adds rules after these: (name, whether it fires, reason), as pure expressions over the columns of judged.
+    `more` adds rules after these: (name, whether it fires, reason), as pure expressions over the columns of judged. Columns in
+    `keep` go with the alert.
     """
     own = [("velocity", velocity_fires(t)), ("zscore", zscore_fires(t)), ("geo", geo_fires(t, exempt))]
     rule, reason = F.lit(None).cast("string"), alert_reason(t)
@@ -115,7 +117,31 @@ def alerts(judged: DataFrame, t: Thresholds, exempt: Column | None = None, more:
             reason = F.when(F.col("rule_name") == name, told[0]).otherwise(reason)
     fired = judged.withColumn("rule_name", rule).filter(F.col("rule_name").isNotNull())
     ident = uuid5(ALERT_NAMESPACE, F.concat_ws(":", "event_id", "rule_name"))
-    return fired.select(ident.alias("alert_id"), "event_id", "account_id", "rule_name", reason.alias("reason"), "produced_us")
+    return fired.select(ident.alias("alert_id"), "event_id", "account_id", "rule_name", reason.alias("reason"), "produced_us", *keep)
+
+
+def account_flags(events: DataFrame, exempt: DataFrame, elevated: DataFrame) -> DataFrame:
+    """events with exempt and elevated, whether the account is in the sets (tables with account_id). An account in no set, as one
+    whose lookup failed, is neither. The sets are combined to one dimension, which joins may broadcast as far as its size
+    allows; a stream takes them up anew by reading them in every micro-batch."""
+    rows = exempt.select("account_id", F.lit(True).alias("__x"), F.lit(False).alias("__l")).unionByName(elevated.select("account_id", F.lit(False).alias("__x"), F.lit(True).alias("__l")))
+    member = rows.filter(F.col("account_id").isNotNull()).groupBy("account_id").agg(F.bool_or("__x").alias("exempt"), F.bool_or("__l").alias("elevated"))
+    joined = events.drop("exempt", "elevated").join(member, "account_id", "left")
+    return joined.withColumn("exempt", F.coalesce("exempt", F.lit(False))).withColumn("elevated", F.coalesce("elevated", F.lit(False)))
+
+
+def outbox_rows(alerts: DataFrame, now: Column, trace: Column | None = None) -> DataFrame:
+    """Alerts as rows of the outbox: id, account_id, payload (the message's JSON), status, attempts, created_at and the trace of
+    the event (a struct as of trace_of), null where it had none."""
+    message = F.struct(
+        F.col("alert_id").alias("alertId"), F.col("event_id").alias("eventId"), F.col("account_id").alias("accountId"), F.col("rule_name").alias("ruleName"),
+        "reason", instant_text(F.col("produced_us")).alias("producedAt"),
+    )
+    parent, state = (F.lit(None).cast("string"), F.lit(None).cast("string")) if trace is None else (trace["traceparent"], trace["tracestate"])
+    return alerts.select(
+        F.col("alert_id").alias("id"), "account_id", F.to_json(message, {"ignoreNullFields": "false"}).alias("payload"), F.lit("PENDING").alias("status"),
+        F.lit(0).alias("attempts"), now.alias("created_at"), parent.alias("traceparent"), state.alias("tracestate"),
+    )
 
 
 def fresh(events: DataFrame, t: Thresholds) -> DataFrame:

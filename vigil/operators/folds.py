@@ -203,6 +203,36 @@ def block_map(xs: np.ndarray, n: int, cap: int) -> list[float]:
     return [first, float(path[-1]), float(left[-1] * b[-1]), float(m2s[-1]), q1, q2, float(factor ** float(decays[-1]))]
 
 
+def throttle(events: DataFrame, ttl_ms: int, budget_ms: int = 5000) -> DataFrame:
+    """events (account_id, ms, arrival, rate, ...) with `admitted`, and delay_ms from an event's time to its admission or refusal.
+
+    An account's events go one after the other: each waits for the one before it, then for a token, and is refused when it has
+    waited for budget_ms. Buckets are as in token_bucket(). As waiting piles up, an account is one task here, which streams.
+    """
+
+    def run(state: tuple | None, columns: list) -> tuple:
+        admitted, delays = [], []
+        tokens, at = state or (None, None)
+        for ms, rate in zip(columns[0].tolist(), columns[1].tolist()):
+            now = ms if at is None else max(ms, at)
+            full = at is None or now - at > ttl_ms
+            tokens = float(rate) if full else min(float(rate), tokens + (now - at) / 1000.0 * rate)
+            if tokens < 1:
+                wait = math.ceil((1 - tokens) / rate * 1000) if rate >= 1 else budget_ms
+                wait = min(wait, budget_ms)
+                now, tokens = now + wait, min(float(rate), tokens + wait / 1000.0 * rate)
+            admitted.append(tokens >= 1)
+            delays.append(now - ms)
+            tokens, at = tokens - 1 if tokens >= 1 else tokens, now
+        return (tokens, at), [admitted, delays]
+
+    def alone(columns: list) -> list:
+        free = columns[1].astype(float) >= 1
+        return [free, np.where(free, 0, budget_ms)]
+
+    return grouped_fold(events, ["account_id"], ["ms", "arrival"], run, ["ms", "rate"], "admitted boolean, delay_ms bigint", alone)
+
+
 def then(one: list[float], two: list[float]) -> list[float]:
     """The map of two consecutive parts of a block, as block_map."""
     f1, s1, k1, a0, a1, a2, m1 = one

@@ -28,6 +28,26 @@ def event_violations(event_id: Column, account_id: Column, amount: Column, lat:
     return sum((F.when(t, 1).otherwise(0) for t in tests), F.lit(0))
 
 
+def identity_faults(alert_id: Column, account_id: Column, rule_name: Column) -> Column:
+    """Which of the three fields that identify an alert are missing, as text "alert_id,rule_name"; null if none is."""
+    named = {"alert_id": alert_id, "account_id": account_id, "rule_name": rule_name}
+    missing = F.array_compact(F.array(*[F.when(c.isNull(), name) for name, c in named.items()]))
+    return F.nullif(F.array_join(missing, ","), F.lit(""))
+
+
+def reply_fault(reply: Column) -> Column:
+    """What is wrong with a state row array<string> (blocked, prior, n, mean, m2, lat, lon, ms): "shape" if one of the first five
+    is missing or no number, "geo" if the place is there in part, no number or out of bounds; null if nothing is. Missing
+    elements at the end count as null."""
+    at = lambda i: F.try_element_at(reply, F.lit(i + 1))
+    whole = lambda i: F.coalesce(at(i).rlike(r"\A-?[0-9]{1,18}\z"), F.lit(False))
+    shape = whole(0) & whole(1) & whole(2) & at(3).try_cast("double").isNotNull() & at(4).try_cast("double").isNotNull()
+    lat, lon, ms = at(5).try_cast("double"), at(6).try_cast("double"), F.when(whole(7), at(7)).cast("bigint")
+    unread = (at(5).isNotNull() & lat.isNull()) | (at(6).isNotNull() & lon.isNull()) | (at(7).isNotNull() & ms.isNull())
+    place = unread | location_fault(lat, lon, ms).isNotNull()
+    return F.when(~F.coalesce(shape, F.lit(False)), "shape").when(F.coalesce(place, F.lit(False)), "geo")
+
+
 def split(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     """The rows for which ok is true, and all others (null counts as not ok)."""
     return df.filter(ok), df.filter(~F.coalesce(ok, F.lit(False)))

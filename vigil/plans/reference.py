@@ -107,13 +107,10 @@ def geo_speed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _exempt(spark: SparkSession, folder: str, events: DataFrame) -> DataFrame:
-    """events with exempt and elevated; every 10th and 7th account is in the sets. The sets are dimensions that the optimizer
-    broadcasts by their size."""
-    accounts = payment_events(spark, folder).select("account_id").distinct()
-    sets = accounts.select("account_id", (F.col("account_id").cast("bigint") % 10 == 0).alias("exempt"), (F.col("account_id").cast("bigint") % 7 == 0).alias("elevated"))
-    member = sets.filter("exempt OR elevated")
-    joined = events.join(member, "account_id", "left")
-    return joined.withColumn("exempt", F.coalesce("exempt", F.lit(False))).withColumn("elevated", F.coalesce("elevated", F.lit(False)))
+    """events with exempt and elevated; every 10th and 7th customer is in the sets."""
+    number = F.col("c_custkey")
+    of = lambda step: table(spark, folder, "customer").filter(number % step == 0).select(number.cast("string").alias("account_id"))
+    return detect.account_flags(events, of(10), of(7))
 
 
 def account_classes(spark: SparkSession, folder: str) -> DataFrame:
