@@ -91,3 +91,51 @@ def test_views_over_a_stream(spark):
     again.recompute()
     view = again.view().collect()
     assert sum(r["n"] + r["refused"] for r in view) == 120 and sum(r["corrections"] for r in view) == again.log().filter("lateness = 'corrects'").count() > 0
+
+
+def test_judging_restarts_after_a_pause_and_follows_the_cap(spark):
+    t = Thresholds(velocity_window_ms=2000, velocity_max=3, stats_ttl_ms=900, zscore_cap=10)
+    df = events(spark)
+    got = {r["event_id"]: r for r in run(spark, df, lambda s: detection.judge_stream(s, t)).collect()}
+    want = detect.judge(df, t).collect()
+    assert len(got) == len(want) and len({r["n"] for r in want}) < 120
+    for r in want:
+        g = got[r["event_id"]]
+        assert (g["velocity_prior"], g["n"], g["prev"]) == (r["velocity_prior"], r["n"], r["prev"])
+        assert abs(g["mean"] - r["mean"]) < 1e-9 and abs(g["m2"] - r["m2"]) < 1e-6
+
+
+def test_windows_come_out_behind_the_watermark(spark):
+    df = events(spark).withColumn("at", F.timestamp_millis(F.col("ms")))
+    source, out = work_path(spark, "in"), work_path(spark, "out")
+    late = events(spark, 1).withColumn("at", F.timestamp_millis(F.lit(100))).withColumn("event_id", F.lit("late"))
+    more = df.filter("arrival = 119")  # records are late by the watermark of the batch before
+    for part in (df, more, late.withColumn("arrival", F.lit(500)), df.limit(1).withColumn("at", F.timestamp_millis(F.lit(3_600_000)))):
+        part.coalesce(1).write.mode("append").parquet(source)
+    schema = f"{EVENTS}, at timestamp"
+    counted = detection.counts_stream(folder_stream(spark, source, schema, files_per_trigger=1), "at", "5 seconds", ["account_id"], "10 seconds")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    query = counted.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_path(spark, "cp")).outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    jobs.prepare(spark)
+    got = {(r["account_id"], r["window_us"]): r["n"] for r in spark.read.parquet(out).collect()}
+    want = {(r["account_id"], r["w"]): r["n"] for r in df.unionByName(more).groupBy("account_id", F.unix_micros(F.window("at", "5 seconds")["start"]).alias("w")).agg(F.count("*").alias("n")).collect()}
+    assert got == want  # the late event is in none, the window of the last one is still open
+
+
+def test_from_records_to_outbox_and_dead_letters(spark):
+    jobs.prepare(spark)
+    source, outbox, letters, checkpoints = (work_path(spark, n) for n in ("in", "outbox", "letters", "cp"))
+    body = '{"eventId":"%s","accountId":"a","amount":%s,"lat":%s,"lon":0,"timestamp":"2020-06-01T00:00:%02dZ","more":1}'
+    values = [body % (i, 5, 80 if i % 2 else -80, i) for i in range(6)] + [body % (3, 5, 80, 3), "NOT_VALID_JSON", None, body % ("", 5, 0, 8), body % (9, -1, 0, 9)]
+    rows = [(f"k{i}", v, 1000 * i) for i, v in enumerate(values)]
+    made = spark.createDataFrame(rows, "key string, value string, ms bigint").select("key", F.encode("value", "UTF-8").alias("value"), F.timestamp_millis("ms").alias("timestamp"), F.array().cast("array<struct<key:string,value:binary>>").alias("headers"))
+    made.coalesce(1).write.parquet(source)
+    schema = "key string, value binary, timestamp timestamp, headers array<struct<key:string,value:binary>>"
+    for _ in range(2):  # a second start finds nothing new
+        for query in jobs.detection_jobs(folder_stream(spark, source, schema), Thresholds(velocity_max=4), outbox, letters, "payment.events", checkpoints):
+            assert query.awaitTermination(180)
+    alerts = {r["rule"]: r["n"] for r in spark.read.parquet(outbox).groupBy(F.get_json_object("payload", "$.ruleName").alias("rule")).agg(F.count("*").alias("n")).collect()}
+    assert alerts == {"geo": 3, "velocity": 2}
+    bad = {(r["key"], r["fault"], r["topic"]) for r in spark.read.parquet(letters).collect()}
+    assert bad == {("k7", "undecodable", "payment.events.DLT"), ("k9", "invalid", "payment.events.DLT"), ("k10", "invalid", "payment.events.DLT")}

@@ -10,20 +10,27 @@ from pyspark.sql import functions as F
 from vigil.operators.delivery import insert_if_absent
 
 
-def absent_rows_sink(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
+def absent_rows_sink(path: str, key: str, order: str, parts: int = 256) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that adds to the parquet table at path the rows whose key is not there yet, one per key.
 
-    A batch writes its own folder batch=<id> and reads only the others, so a repeated batch replaces what it had written.
+    The table is laid out by a hash of the key into `part`, and below that by batch. A batch reads the keys of its own parts
+    alone, and of other batches only, so that a repeated batch replaces what it had written. Rows with a null key are left out.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, own = batch.sparkSession, f"{path}/batch={number}"
+        spark = batch.sparkSession
+        placed = batch.filter(F.col(key).isNotNull()).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("batch", F.lit(number))
         root = spark._jvm.org.apache.hadoop.fs.Path(path)
         files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        there = files.exists(root) and any(s.getPath().getName().startswith("batch=") for s in files.listStatus(root))
-        existing = spark.read.schema(f"{key} {dict(batch.dtypes)[key]}, batch bigint").parquet(path).filter(F.col("batch") != number) if there else batch.select(key).limit(0)
-        new = insert_if_absent(batch, existing, key, order)
-        batch.join(new, [key, order], "left_semi").dropDuplicates([key]).write.mode("overwrite").parquet(own)
+        there = files.exists(root) and any(s.getPath().getName().startswith("part=") for s in files.listStatus(root))
+        existing = batch.select(key).limit(0)
+        if there:
+            own = [r[0] for r in placed.select("part").distinct().collect()]  # at most `parts`
+            table = spark.read.schema(f"{key} {dict(batch.dtypes)[key]}, part int, batch bigint").parquet(path)
+            existing = table.filter(F.col("part").isin(own) & (F.col("batch") != number))
+        new = insert_if_absent(placed, existing, key, order)
+        rows = placed.join(new, [key, order], "left_semi").dropDuplicates([key])
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(path)
 
     return write
 

@@ -6,6 +6,7 @@ State lives in the state store (RocksDB on a cluster) with a time-to-live in pro
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,44 +23,61 @@ JUDGED = "event_id string, account_id string, amount double, lat double, lon dou
 
 
 class AccountState(StatefulProcessor):
-    """Per account: the recent events' times, (n, mean, m2) and the last place."""
+    """Per account: the recent events' times and ids, (n, mean, m2, last time) and the last place.
+
+    Each state is read and written once per micro-batch. Times are kept in order, so that counting those within the window is a
+    binary search; an id that comes again moves its time instead of counting twice. Statistics restart in event time after a
+    pause longer than stats_ttl_ms, as in the batch form; the store's own time-to-live only clears what nobody asks for.
+    """
 
     def __init__(self, thresholds: Thresholds):
         self.t = thresholds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getMapState("recent", "event_id string", "ms bigint", ttlDurationMs=max(LEAST_TTL_MS, 2 * self.t.velocity_window_ms))
-        self.stats = handle.getValueState("stats", "n bigint, mean double, m2 double", ttlDurationMs=self.t.stats_ttl_ms)
-        self.place = handle.getValueState("place", "lat double, lon double, ms bigint", ttlDurationMs=self.t.geo_ttl_ms)
+        self.recent = handle.getListState("recent", "ms bigint, event_id string", ttlDurationMs=max(LEAST_TTL_MS, 2 * self.t.velocity_window_ms))
+        self.stats = handle.getValueState("stats", "n bigint, mean double, m2 double, ms bigint", ttlDurationMs=max(LEAST_TTL_MS, 2 * self.t.stats_ttl_ms))
+        self.place = handle.getValueState("place", "lat double, lon double, ms bigint", ttlDurationMs=max(LEAST_TTL_MS, 2 * self.t.geo_ttl_ms))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ms", "event_id"])
-        recent = {k[0]: v[0] for k, v in self.recent.iterator()}
-        n, mean, m2 = self.stats.get() if self.stats.exists() else (0, 0.0, 0.0)
+        recent = sorted((ms, ident) for ms, ident in self.recent.get())
+        time_of = {ident: ms for ms, ident in recent}
+        n, mean, m2, last = self.stats.get() if self.stats.exists() else (0, 0.0, 0.0, None)
         place = self.place.get() if self.place.exists() else None
-        cap, out = self.t.zscore_cap, []
-        for e in events.itertuples(index=False):
-            oldest = e.ms - self.t.velocity_window_ms
-            for gone in [k for k, at in recent.items() if at <= oldest]:
-                del recent[gone]
-                if self.recent.containsKey((gone,)):
-                    self.recent.removeKey((gone,))
-            prior = len(recent)
-            recent[e.event_id] = e.ms
-            self.recent.updateValue((e.event_id,), (e.ms,))
-            n += 1
-            d = e.amount - mean
+        cap, start, priors, states, befores = self.t.zscore_cap, 0, [], [], []
+        columns = [events[c].tolist() for c in ("event_id", "amount", "lat", "lon", "ms")]
+        for ident, amount, lat, lon, ms in zip(*columns):
+            oldest = ms - self.t.velocity_window_ms
+            while start < len(recent) and recent[start][0] <= oldest:
+                gone = recent[start]
+                if time_of.get(gone[1]) == gone[0]:
+                    del time_of[gone[1]]
+                start += 1
+            if ident in time_of:
+                recent.pop(bisect_left(recent, (time_of[ident], ident), start))
+            priors.append(len(recent) - start)
+            insort(recent, (ms, ident), start)
+            time_of[ident] = ms
+            if last is not None and ms - last > self.t.stats_ttl_ms:
+                n, mean, m2 = 0, 0.0, 0.0
+            n, last = n + 1, ms
+            d = amount - mean
             mean += d / min(n, cap)
-            m2 = (m2 - m2 / cap if n > cap else m2) + d * (e.amount - mean)
-            before = place if place is not None and e.ms - place[2] <= self.t.geo_ttl_ms else (None, None, None)
-            out.append((e.event_id, e.account_id, e.amount, e.lat, e.lon, e.ms, e.produced_us, prior, n, mean, m2, *before))
-            place = (e.lat, e.lon, e.ms)
-        self.stats.update((n, mean, m2))
+            m2 = (m2 - m2 / cap if n > cap else m2) + d * (amount - mean)
+            states.append((n, mean, m2))
+            befores.append(place if place is not None and ms - place[2] <= self.t.geo_ttl_ms else (None, None, None))
+            place = (lat, lon, ms)
+        self.recent.put(recent[start:])
+        self.stats.update((n, mean, m2, last))
         self.place.update(place)
-        names = [c.split()[0] for c in JUDGED.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        frame["prev_ms"] = frame["prev_ms"].astype("Int64")
-        yield frame
+        out = events[["event_id", "account_id", "amount", "lat", "lon", "ms", "produced_us"]].copy()
+        out["velocity_prior"] = priors
+        out["n"], out["mean"], out["m2"] = zip(*states)
+        for i, name in enumerate(("prev_lat", "prev_lon")):
+            out[name] = pd.array([b[i] for b in befores], "Float64").to_numpy(float, na_value=float("nan"))
+        out["prev_lat"], out["prev_lon"] = out["prev_lat"].astype("Float64"), out["prev_lon"].astype("Float64")
+        out["prev_ms"] = pd.array([b[2] for b in befores], "Int64")
+        yield out
 
     def close(self) -> None:
         pass
@@ -87,7 +105,8 @@ class SeenOnce(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
-        copies = pd.concat(list(rows)).sort_values("ms", kind="stable")
+        copies = pd.concat(list(rows))
+        copies = copies.sort_values(["ms", "arrival"] if "arrival" in copies.columns else ["ms"], kind="stable")
         accepted = []
         for ms in copies["ms"]:
             accepted.append(last is None or ms - last >= self.ttl_ms)
@@ -100,7 +119,7 @@ class SeenOnce(StatefulProcessor):
 
 
 def dedup_stream(events: DataFrame, ttl_ms: int) -> DataFrame:
-    """The stream with `accepted`, as folds.dedup_ttl; events has event_id and ms."""
+    """The stream with `accepted`, as folds.dedup_ttl; events has event_id and ms, and arrival if ties are to go by it."""
     fields = ", ".join(f"{name} {kind}" for name, kind in events.dtypes)
     return events.groupBy("event_id").transformWithStateInPandas(SeenOnce(ttl_ms), f"{fields}, accepted boolean", "Append", "ProcessingTime")
 
@@ -137,3 +156,11 @@ def token_stream(events: DataFrame, ttl_ms: int) -> DataFrame:
     """The stream with allowed and wait_ms; events has account_id, ms, arrival and rate."""
     fields = ", ".join(f"{name} {kind}" for name, kind in events.dtypes)
     return events.groupBy("account_id").transformWithStateInPandas(TokenBucket(ttl_ms), f"{fields}, allowed boolean, wait_ms bigint", "Append", "ProcessingTime")
+
+
+def counts_stream(events: DataFrame, at: str, width: str, keys: list[str], delay: str) -> DataFrame:
+    """(keys, window_us, n): counts per tumbling window of event time. A window comes out once the watermark, `delay` behind the
+    latest event time seen, has passed its end; later events are dropped and its state is cleared, so that state stays bounded."""
+    marked = events.withWatermark(at, delay)
+    counted = marked.groupBy(F.window(at, width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(*keys, F.unix_micros("w.start").alias("window_us"), "n")
