@@ -26,6 +26,20 @@ def tagged_counts(df: DataFrame, tags: list[str]) -> DataFrame:
     return df.groupBy(*tags).agg(F.count(F.lit(1)).alias("n"))
 
 
+def outcome_counts(df: DataFrame, key: str, tag: str, order: str) -> DataFrame:
+    """(tag, outcome, n): rows per tag that are their key's first by order, which must be unique (actioned), and all others
+    (duplicate). Rows with a null key are left out.
+
+    Rows are combined per key and tag, these per key; nothing is joined back to the rows.
+    """
+    parts = df.filter(F.col(key).isNotNull()).groupBy(key, tag).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    each = parts.groupBy(key).agg(F.min(F.struct("first", tag)).alias("least"), F.collect_list(F.struct(tag, "n")).alias("tags"))
+    one = lambda outcome, n: F.struct(F.col(f"least.{tag}").alias(tag), F.lit(outcome).alias("outcome"), F.lit(n).cast("bigint").alias("n"))
+    all_of = F.transform("tags", lambda t: F.struct(t[tag].alias(tag), F.lit("duplicate").alias("outcome"), t["n"].alias("n")))
+    rows = each.select(F.inline(F.concat(F.array(one("actioned", 1), one("duplicate", -1)), all_of)))
+    return rows.groupBy(tag, "outcome").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def percentiles(df: DataFrame, keys: list[str], value: Column, points: tuple[float, ...] = (0.5, 0.95, 0.99), accuracy: int = 10_000) -> DataFrame:
     """Approximate percentiles per keys, by mergeable sketches of bounded size (error at most 1/accuracy of the ranks)."""
     found = df.groupBy(*keys).agg(F.percentile_approx(value, list(points), accuracy).alias("p"), F.count(value).alias("n"))

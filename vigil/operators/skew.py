@@ -32,6 +32,21 @@ def combine_by_key(df: DataFrame, keys: list[str], states: list[Column], distinc
     return out
 
 
+def combine_with_distinct(df: DataFrame, keys: list[str], value: str, name: str, rows: str, mins: dict[str, Column], maxs: dict[str, Column]) -> DataFrame:
+    """One row per key with the number of rows, minima, maxima and the number of distinct values of a column, in one pass.
+
+    Rows are combined per (key, value) first, the value being 128 bits of hash instead of its text, which spreads a hot key over
+    all reducers; these states are then combined per key. Null values are not counted as values; a null key is a key of its own.
+    """
+    column = F.col(value)
+    marks = [F.when(column.isNotNull(), F.xxhash64(column)).alias("__h1"), F.when(column.isNotNull(), F.xxhash64(F.lit(1), column)).alias("__h2")]
+    bare = df.select(*keys, *marks, *[c.alias(n) for n, c in {**mins, **maxs}.items()])
+    inner = [F.count(F.lit(1)).alias("__n"), *[F.min(n).alias(n) for n in mins], *[F.max(n).alias(n) for n in maxs]]
+    parts = bare.groupBy(*keys, "__h1", "__h2").agg(*inner)
+    outer = [F.sum("__n").alias(rows), F.count("__h1").alias(name), *[F.min(n).alias(n) for n in mins], *[F.max(n).alias(n) for n in maxs]]
+    return parts.groupBy(*keys).agg(*outer)
+
+
 def heavy_keys(df: DataFrame, group: str, key: str, share: tuple[int, int] = (1, 100)) -> DataFrame:
     """(group, key) pairs that hold at least share[0]/share[1] of the rows of their group.
 

@@ -26,8 +26,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_account_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Per table and account: rows, distinct written alert ids, first and last time."""
     at = F.unix_micros("at")
-    states = [F.count(F.lit(1)).alias("n_rows"), F.min(at).alias("first_us"), F.max(at).alias("last_us")]
-    return skew.combine_by_key(_accounts(spark, folder), ["table_name", "account_id"], states, {"n_ids": "alert"})
+    return skew.combine_with_distinct(_accounts(spark, folder), ["table_name", "account_id"], "alert", "n_ids", "n_rows", {"first_us": at}, {"last_us": at})
 
 
 def _arrivals(spark: SparkSession, folder: str) -> DataFrame:

@@ -195,10 +195,7 @@ def processed_insert(spark: SparkSession, folder: str) -> DataFrame:
 
 def actioned_counts(spark: SparkSession, folder: str) -> DataFrame:
     """actioned and duplicate per rule, a delivery being a duplicate unless it is its alert's first."""
-    m = _messages(spark, folder).filter(F.col("alert").isNotNull())
-    first = m.groupBy("alert").agg(F.min("row_id").alias("row_id")).select("row_id", F.lit("actioned").alias("outcome"))
-    tagged = m.join(first, "row_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("duplicate")))
-    return metrics.tagged_counts(tagged, ["rule_name", "outcome"])
+    return metrics.outcome_counts(_messages(spark, folder), "alert", "rule_name", "row_id")
 
 
 def outbox_stats(spark: SparkSession, folder: str) -> DataFrame:

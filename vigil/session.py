@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension may be broadcast; at some 100 bytes a row that is 20 MB.
+#: Rows, and bytes of their values, up to which a dimension may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 2**20
 
 
 def build_session(app: str = "vigil", master: str | None = None, cores: int = 8) -> SparkSession:
@@ -54,7 +55,9 @@ _made: list[str] = []
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; release() removes what is there."""
+    """A new path below the shared folder. release() removes what is there, at the latest when the driver ends."""
+    if not _made:
+        atexit.register(_release_at_exit, spark)
     _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     return _made[-1]
 
@@ -67,6 +70,13 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _release_at_exit(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:  # noqa: BLE001 - the session has been stopped, and its folder goes with it or is kept on purpose
+        _made.clear()
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: a cut in the lineage that outlives any executor. `by` lays it out in
     parts of that column, of which a filter reads only its own."""
@@ -75,7 +85,11 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise df; mark it for broadcast only if it has at most `rows` rows, else leave the join to the optimizer."""
+def small_side(df: DataFrame, name: str, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise df; mark it for broadcast only if it has at most `rows` rows and its values at most `most_bytes` bytes, else
+    leave the join to the optimizer. Values are fixed-width or text or binary; others count as their JSON text."""
     kept = written(df, name)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c, kind in kept.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
+    size = sum(wide, F.lit(16 + 8 * len(kept.columns)).cast("bigint"))
+    found = kept.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
+    return F.broadcast(kept) if found["n"] <= rows and (found["bytes"] or 0) <= most_bytes else kept
