@@ -100,20 +100,22 @@ def _exploded(raw: DataFrame, *keep: str) -> DataFrame:
     return raw.sparkSession.sql(sql, rows=parsed)
 
 
-def fields(raw: DataFrame) -> DataFrame:
-    """(file, line_no, field_name, kind, h1, h2, own_id): a row per top-level field of each record.
+def fields(raw: DataFrame, picked: DataFrame) -> DataFrame:
+    """(file, line_no, field_name, kind, h1, h2, own_id) of each record's fields that are picked, a table (file, field_name), or
+    hold the record's alert id; nothing is made of the others.
 
     kind is null for a null value. h1 and h2 are a 128-bit hash of the value's canonical JSON text, in which objects have
     their names sorted and decimals no trailing zeros. own_id is the value itself where the field holds the record's alert id,
     in one form if it denotes a UUID.
     """
     names = F.create_map(*[x for feed, known in ID_NAMES.items() for x in (F.lit(feed), F.array(*map(F.lit, known)))])
-    text = F.variant_get(F.col("value"), "$", "string")
-    kind, json = _kind(F.col("value_type")), F.to_json("value")
-    is_id = (kind == "text") & F.array_contains(F.element_at(names, F.col("feed")), _bare(F.col("field_name")))
-    own = F.when(is_id, F.coalesce(canonical_uuid(text), text))
-    hashes = [F.xxhash64(json).alias("h1"), F.xxhash64(F.lit(1), json).alias("h2")]
-    return _exploded(raw, "line_no").select(*FILE, "line_no", "field_name", kind.alias("kind"), *hashes, own.alias("own_id"))
+    named = F.array_contains(F.element_at(names, F.col("feed")), _bare(F.col("field_name")))
+    some = _exploded(raw, "line_no").join(picked.select(*FILE, "field_name", F.lit(True).alias("__picked")), [*FILE, "field_name"], "left")
+    some = some.withColumn("__named", named & (F.col("value_type") == "STRING")).filter(F.col("__picked") | F.col("__named"))
+    text, json = F.variant_get(F.col("value"), "$", "string"), F.to_json("value")
+    own = F.when(F.col("__named"), F.coalesce(canonical_uuid(text), text))
+    hashes = [F.when(F.col("__picked"), F.xxhash64(json)).alias("h1"), F.when(F.col("__picked"), F.xxhash64(F.lit(1), json)).alias("h2")]
+    return some.select(*FILE, "line_no", "field_name", _kind(F.col("value_type")).alias("kind"), *hashes, own.alias("own_id"))
 
 
 def file_sequence(raw: DataFrame) -> DataFrame:
@@ -182,7 +184,7 @@ def renamed(raw: DataFrame, sequence: DataFrame, came: DataFrame, went: DataFram
     record = [*FILE, "line_no", "seq", "role"]
     wanted = F.col("own_id").isNotNull() | F.col("kind").isNotNull()
     some = raw.join(small_side(files.select(*FILE).distinct(), "changed-file-names"), FILE, "left_semi")
-    cells = written(fields(some).filter(wanted), "cells")
+    cells = written(fields(some, picked.select(*FILE, "field_name").distinct()).filter(wanted), "cells")
     ids = written(cells.filter(F.col("own_id").isNotNull()).join(files, FILE).groupBy(*record).agg(F.min("own_id").alias("id")), "record-ids")
     shared = ids.groupBy(*at, "id").agg(F.min("role").alias("lo"), F.max("role").alias("hi")).filter("lo != hi").select(*at, "id")
     values = cells.filter(F.col("kind").isNotNull()).join(picked, [*FILE, "field_name"]).join(ids.join(shared, [*at, "id"], "left_semi"), record)
