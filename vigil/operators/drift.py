@@ -100,22 +100,25 @@ def _exploded(raw: DataFrame, *keep: str) -> DataFrame:
     return raw.sparkSession.sql(sql, rows=parsed)
 
 
+def holds_id(feed: Column, name: Column) -> Column:
+    """Whether a field of that name holds the alert id of its feed's records."""
+    names = F.create_map(*[x for of, known in ID_NAMES.items() for x in (F.lit(of), F.array(*map(F.lit, known)))])
+    return F.coalesce(F.array_contains(F.element_at(names, feed), _bare(name)), F.lit(False))
+
+
 def fields(raw: DataFrame, picked: DataFrame) -> DataFrame:
-    """(file, line_no, field_name, kind, h1, h2, own_id) of each record's fields that are picked, a table (file, field_name), or
-    hold the record's alert id; nothing is made of the others.
+    """(file, line_no, field_name, kind, h1, h2, own_id) of the fields of each record that are in `picked`, a table (file,
+    field_name, valued, named); nothing is made of the others.
 
-    kind is null for a null value. h1 and h2 are a 128-bit hash of the value's canonical JSON text, in which objects have
-    their names sorted and decimals no trailing zeros. own_id is the value itself where the field holds the record's alert id,
-    in one form if it denotes a UUID.
+    kind is null for a null value. Where valued, h1 and h2 are a 128-bit hash of the value's canonical JSON text, in which objects
+    have their names sorted and decimals no trailing zeros. Where named, own_id is the value itself if it is text, in one form if
+    it denotes a UUID.
     """
-    names = F.create_map(*[x for feed, known in ID_NAMES.items() for x in (F.lit(feed), F.array(*map(F.lit, known)))])
-    named = F.array_contains(F.element_at(names, F.col("feed")), _bare(F.col("field_name")))
-    some = _exploded(raw, "line_no").join(picked.select(*FILE, "field_name", F.lit(True).alias("__picked")), [*FILE, "field_name"], "left")
-    some = some.withColumn("__named", named & (F.col("value_type") == "STRING")).filter(F.col("__picked") | F.col("__named"))
-    text, json = F.variant_get(F.col("value"), "$", "string"), F.to_json("value")
-    own = F.when(F.col("__named"), F.coalesce(canonical_uuid(text), text))
-    hashes = [F.when(F.col("__picked"), F.xxhash64(json)).alias("h1"), F.when(F.col("__picked"), F.xxhash64(F.lit(1), json)).alias("h2")]
-    return some.select(*FILE, "line_no", "field_name", _kind(F.col("value_type")).alias("kind"), *hashes, own.alias("own_id"))
+    some = _exploded(raw, "line_no").join(picked, [*FILE, "field_name"])
+    json = F.to_json("value")
+    text = F.when(F.col("named") & (F.col("value_type") == "STRING"), F.variant_get(F.col("value"), "$", "string"))
+    hashes = [F.when(F.col("valued"), F.xxhash64(json)).alias("h1"), F.when(F.col("valued"), F.xxhash64(F.lit(1), json)).alias("h2")]
+    return some.select(*FILE, "line_no", "field_name", _kind(F.col("value_type")).alias("kind"), *hashes, F.coalesce(canonical_uuid(text), text).alias("own_id"))
 
 
 def file_sequence(raw: DataFrame) -> DataFrame:
@@ -166,7 +169,7 @@ def retyped(spans: DataFrame, footer: DataFrame) -> DataFrame:
     return changed.join(valued, keys, "left_semi").join(valued.withColumn("seq", F.col("seq") + 1), keys, "left_semi")
 
 
-def renamed(raw: DataFrame, sequence: DataFrame, came: DataFrame, went: DataFrame) -> DataFrame:
+def renamed(raw: DataFrame, sequence: DataFrame, footer: DataFrame, came: DataFrame, went: DataFrame) -> DataFrame:
     """(producer, seq, field_name, new_name): pairs of a field that went and one that came which agree in every record.
 
     A and B count the shared records in which the old and the new field have a value, M those in which both have the same;
@@ -184,7 +187,11 @@ def renamed(raw: DataFrame, sequence: DataFrame, came: DataFrame, went: DataFram
     record = [*FILE, "line_no", "seq", "role"]
     wanted = F.col("own_id").isNotNull() | F.col("kind").isNotNull()
     some = raw.join(small_side(files.select(*FILE).distinct(), "changed-file-names"), FILE, "left_semi")
-    cells = written(fields(some, picked.select(*FILE, "field_name").distinct()).filter(wanted), "cells")
+    ids = footer.filter(F.array_contains("kinds", "text") & holds_id(F.col("feed"), F.col("field_name"))).join(sequence, at).select(*FILE, "field_name")
+    yes, no = F.lit(True), F.lit(False)
+    both = picked.select(*FILE, "field_name", yes.alias("valued"), no.alias("named")).unionByName(ids.join(files.select(*FILE).distinct(), FILE, "left_semi").select("*", no.alias("valued"), yes.alias("named")))
+    both = small_side(both.groupBy(*FILE, "field_name").agg(F.bool_or("valued").alias("valued"), F.bool_or("named").alias("named")), "looked-at")
+    cells = written(fields(some, both).filter(wanted), "cells")
     ids = written(cells.filter(F.col("own_id").isNotNull()).join(files, FILE).groupBy(*record).agg(F.min("own_id").alias("id")), "record-ids")
     shared = ids.groupBy(*at, "id").agg(F.min("role").alias("lo"), F.max("role").alias("hi")).filter("lo != hi").select(*at, "id")
     values = cells.filter(F.col("kind").isNotNull()).join(picked, [*FILE, "field_name"]).join(ids.join(shared, [*at, "id"], "left_semi"), record)
@@ -209,7 +216,7 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     came, went = _ends(spans.filter(F.col("kind") == "").drop("kind").withColumn("kind", F.lit("")))
     came, went = came.drop("kind"), went.drop("kind")
     at = [*PRODUCER, "seq"]
-    moved = written(renamed(raw, sequence, came, went), "renamed")
+    moved = written(renamed(raw, sequence, footer, came, went), "renamed")
     log = lambda rows, kind, new=F.lit(""): rows.select(*at, F.lit(kind).alias("change_kind"), "field_name", new.alias("new_name"))
     gone = went.join(moved.select(*at, "field_name"), [*at, "field_name"], "left_anti")
     fresh = came.join(moved.select(*at, F.col("new_name").alias("field_name")), [*at, "field_name"], "left_anti")
