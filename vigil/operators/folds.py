@@ -90,7 +90,8 @@ def _with_cuts(df: DataFrame, key: str, gap_ms: int, hot_rows: int) -> DataFrame
     placed = written(running(some, [key], "__block", ["ms", "arrival"], previous={"__prev": ["ms"]}), "hot-rows")
     cut = placed.withColumn("__cut", F.when(F.col("ms") - F.col("__prev.ms") >= gap_ms, 1).otherwise(0).cast("bigint"))
     cut = running(cut, [key], "__block", ["ms", "arrival"], {"__session": "__cut"}).drop("__prev", "__cut", "__block")
-    return df.join(hot, key, "left_anti").withColumn("__session", F.lit(0).cast("bigint")).unionByName(cut)
+    both = df.join(hot, key, "left_anti").withColumn("__session", F.lit(0).cast("bigint")).unionByName(cut)
+    return both.select(*df.columns, "__session")  # a join moves its keys to the front
 
 
 def dedup_ttl(events: DataFrame, ttl_ms: int, hot_rows: int = HOT_ROWS) -> DataFrame:
