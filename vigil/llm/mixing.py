@@ -91,12 +91,12 @@ def share_report(docs: DataFrame, targets: DataFrame, seed: str = SEED, calibrat
 
 
 def properties(docs: DataFrame, targets: DataFrame, seed: str = SEED, deviations: float = 4.0) -> DataFrame:
-    """Per target whether no document is used more often than permitted, and the tokens used lie within `deviations` standard
+    """Per target whether no document (a row; rows that repeat are documents of their own) is used more often than permitted, and the tokens used lie within `deviations` standard
     deviations of rate x tokens, as independent draws would."""
     plan = small_side(mix_plan(docs, targets, seed), "mix-plan")
     sized = _tokens(docs.select("doc_id", "source", "text"), seed).groupBy("source").agg(F.sum("n_tokens").alias("all_tokens"), F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("squares"))
-    per_doc = mix(docs.select("doc_id", "source", "text"), targets, seed).groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("uses"))
-    used = per_doc.groupBy("source").agg(F.sum("used").alias("used"), F.max("uses").alias("most"))
+    uses = mix(docs.select("doc_id", "source", "text"), targets, seed)
+    used = uses.groupBy("source").agg(F.sum("n_tokens").alias("used"), F.max("copy_no").alias("most"))
     joined = plan.join(sized, "source", "left").join(used, "source", "left")
     fraction = F.col("rate") - F.col("copies")
     spread = deviations * F.sqrt(fraction * (1 - fraction) * F.coalesce("squares", F.lit(0)))

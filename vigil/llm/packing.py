@@ -118,12 +118,15 @@ def pack(docs: DataFrame, profiles: DataFrame, shares: int | None = None, top_up
     """A row per piece: pack_name, container_id, doc_id, piece_no, start_token, tokens, for each profile over all documents.
 
     docs has doc_id and text; profiles pack_name and capacity_tokens, at most MAX_PROFILES rows, with capacities above 0
-    (others are left out). Where shares is not given it is SHARES, and for top_up the next power of two that keeps a share near
+    (others are left out, repeated rows count once, a name with two capacities is refused). Where shares is not given it is SHARES, and for top_up the next power of two that keeps a share near
     TOP_UP_ROWS texts, so that a few more documents move no text.
     """
-    wanted = [(r[0], int(r[1])) for r in profiles.select("pack_name", "capacity_tokens").limit(MAX_PROFILES + 1).collect() if r[1] and r[1] > 0]
+    rows = profiles.select("pack_name", "capacity_tokens").filter("capacity_tokens > 0").distinct().limit(MAX_PROFILES + 1).collect()
+    wanted = [(r[0], int(r[1])) for r in rows]
     if len(wanted) > MAX_PROFILES:
         raise ValueError(f"more than {MAX_PROFILES} profiles")
+    if len({name for name, _ in wanted}) < len(wanted):
+        raise ValueError("a profile has two capacities")
     if not wanted:
         return docs.sparkSession.createDataFrame([], PACKED)
     pieces = _pieces(docs, wanted)
@@ -147,7 +150,7 @@ def fill_report(packed: DataFrame, profiles: DataFrame) -> DataFrame:
     """Per profile: containers, their least possible number by total size, tokens, and the share of room used."""
     by_container = packed.groupBy("pack_name", "container_id").agg(F.sum("tokens").alias("tokens"))
     by_name = by_container.groupBy("pack_name").agg(F.count("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
-    joined = by_name.join(profiles.select("pack_name", "capacity_tokens"), "pack_name")
+    joined = by_name.join(profiles.select("pack_name", "capacity_tokens").distinct(), "pack_name")
     least = F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers")
     return joined.select("pack_name", "capacity_tokens", "containers", least, "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("used_share"))
 
@@ -155,7 +158,7 @@ def fill_report(packed: DataFrame, profiles: DataFrame) -> DataFrame:
 def properties(docs: DataFrame, packed: DataFrame, profiles: DataFrame) -> DataFrame:
     """Per profile whether no container is over its capacity, every document is there once from end to end, and only documents
     larger than the capacity are cut."""
-    room = profiles.select("pack_name", "capacity_tokens")
+    room = profiles.select("pack_name", "capacity_tokens").distinct()
     loads = packed.filter(F.col("container_id").isNotNull()).groupBy("pack_name", "container_id").agg(F.sum("tokens").alias("load"))
     within = loads.join(room, "pack_name").groupBy("pack_name").agg(F.bool_and(F.col("load") <= F.col("capacity_tokens")).alias("within_capacity"))
     each = packed.groupBy("pack_name", "doc_id").agg(F.sum("tokens").alias("held"), F.max(F.col("start_token") + F.col("tokens")).alias("end"), F.count(F.lit(1)).alias("pieces"))
