@@ -115,6 +115,7 @@ def test_hot_account_far_above_the_cap_equals_the_recurrence(spark, tmp_path):
             want[i] = z
     ids = spark.createDataFrame(list(enumerate(amounts)), "event_id bigint, value double")
     ids.selectExpr("event_id", "7 AS user_id", "value", "timestamp_millis(1700000000000 + event_id * 40000) AS ts", "'{\"k\": 1}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(50).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     got = {int(x["event_id"]): x["z"] for x in QUERIES["zscore_alerts"](spark, str(tmp_path)).collect()}
     assert set(got) == set(want) and all(abs(got[i] - z) < 1e-3 for i, z in want.items())
     assert set(range(50_999, 60_000, 1000)) <= set(want)  # the first regime has decayed by then
