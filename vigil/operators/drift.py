@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.ids import canonical_uuid
-from vigil.session import small_side, written
+from vigil.session import written
 
 PRODUCER = ["feed", "site"]
 FILE = [*PRODUCER, "file_no"]
@@ -175,22 +175,23 @@ def renamed(raw: DataFrame, sequence: DataFrame, footer: DataFrame, came: DataFr
     A and B count the shared records in which the old and the new field have a value, M those in which both have the same;
     A = B = M > 0 says that the values agree wherever there is one. M comes from an equi-join on record and value, so no
     pair of fields is tried that has not a value in common. Only the bodies of files where fields went and came are read for
-    their values, and of these only such fields; both are picked by tables of metadata before any record is shuffled.
+    their values, and of these only such fields; both are picked by tables of metadata before any record is shuffled. These
+    tables are written, so that joins broadcast them exactly as far as their size allows.
     """
     at, role = [*PRODUCER, "seq"], lambda name: F.lit(name).alias("role")
     turns = came.select(*at).distinct().join(went.select(*at).distinct(), at, "left_semi")
     of = lambda shift: sequence.select(*FILE, (F.col("seq") + shift).alias("seq"))
     files = of(1).select("*", role("old")).unionByName(of(0).select("*", role("new"))).join(turns, at, "left_semi")
-    files = small_side(files, "changed-files")
+    files = written(files, "changed-files")
     changed = went.select(*at, "field_name", role("old")).unionByName(came.select(*at, "field_name", role("new")))
-    picked = small_side(files.join(changed, [*at, "role"]), "changed-fields")
+    picked = written(files.join(changed, [*at, "role"]), "changed-fields")
     record = [*FILE, "line_no", "seq", "role"]
     wanted = F.col("own_id").isNotNull() | F.col("kind").isNotNull()
-    some = raw.join(small_side(files.select(*FILE).distinct(), "changed-file-names"), FILE, "left_semi")
+    some = raw.join(files.select(*FILE), FILE, "left_semi")
     ids = footer.filter(F.array_contains("kinds", "text") & holds_id(F.col("feed"), F.col("field_name"))).join(sequence, at).select(*FILE, "field_name")
     yes, no = F.lit(True), F.lit(False)
     both = picked.select(*FILE, "field_name", yes.alias("valued"), no.alias("named")).unionByName(ids.join(files.select(*FILE).distinct(), FILE, "left_semi").select("*", no.alias("valued"), yes.alias("named")))
-    both = small_side(both.groupBy(*FILE, "field_name").agg(F.bool_or("valued").alias("valued"), F.bool_or("named").alias("named")), "looked-at")
+    both = written(both.groupBy(*FILE, "field_name").agg(F.bool_or("valued").alias("valued"), F.bool_or("named").alias("named")), "looked-at")
     cells = written(fields(some, both).filter(wanted), "cells")
     ids = written(cells.filter(F.col("own_id").isNotNull()).join(files, FILE).groupBy(*record).agg(F.min("own_id").alias("id")), "record-ids")
     shared = ids.groupBy(*at, "id").agg(F.min("role").alias("lo"), F.max("role").alias("hi")).filter("lo != hi").select(*at, "id")
@@ -210,7 +211,7 @@ def schema_changes(raw: DataFrame) -> DataFrame:
 
     change_kind is renamed, removed, added or retyped; new_name is '' unless renamed. No lines give no rows.
     """
-    sequence = small_side(file_sequence(raw), "file-sequence")
+    sequence = written(file_sequence(raw), "file-sequence")
     footer = written(footers(raw, sequence), "footers")
     spans = written(lifespans(footer), "lifespans")
     came, went = _ends(spans.filter(F.col("kind") == "").drop("kind").withColumn("kind", F.lit("")))
@@ -307,17 +308,17 @@ def unified(raw: DataFrame, feed: str, aliases: list[tuple] = ALIASES) -> DataFr
     """
     rows = records(raw.filter(F.col("feed") == feed), "line_no", "landed_at")
     known = [(column, kind, names) for of, column, kind, names in aliases if of == feed]
-    columns, taken = [], []
-    for column, kind, names in known:
-        casts, whole = [], []
-        for name in names:
-            value = F.try_variant_get(F.col("v"), f"$['{name}']", "variant")
-            cast = _cast(value, kind)
-            casts.append(cast)
-            whole.append(F.when(cast.isNotNull(), F.when(_whole(value, kind), name).otherwise("")))
-        columns.append(F.coalesce(*casts).cast(TYPES.get(kind, kind)).alias(column))
-        taken.append(F.coalesce(*whole))
+
+    def chosen(kind: str, names: list[str]) -> Column:
+        """(name, value, whole) of the first alias whose value can be cast; casts are tried on aliases that are there only."""
+        there = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.try_variant_get(F.col("v"), f"$['{n}']", "variant").alias("value")) for n in names]), lambda x: x["value"].isNotNull())
+        tried = F.transform(there, lambda x: F.struct(x["name"].alias("name"), _cast(x["value"], kind).cast(TYPES.get(kind, kind)).alias("value"), _whole(x["value"], kind).alias("whole")))
+        return F.try_element_at(F.filter(tried, lambda x: x["value"].isNotNull()), F.lit(1))
+
+    picked = rows.select("*", *[chosen(kind, names).alias(f"__{column}") for column, kind, names in known])
+    columns = [F.col(f"__{column}.value").alias(column) for column, _, _ in known]
+    taken = [F.when(F.col(f"__{column}.whole"), F.col(f"__{column}.name")) for column, _, _ in known]
     listed, held = F.array(*[F.lit(name) for _, _, names in known for name in names]), F.array_compact(F.array(*taken))
     left = lambda name, value: ~F.array_contains(held, name) & ~(F.array_contains(listed, name) & F.is_variant_null(value))
     extra = F.transform_values(F.map_filter(F.col("v").cast("map<string,variant>"), left), lambda _, value: F.to_json(value))
-    return rows.select("site", "file_no", "line_no", "landed_at", *columns, extra.alias("extra"))
+    return picked.select("site", "file_no", "line_no", "landed_at", *columns, extra.alias("extra"))
