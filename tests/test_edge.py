@@ -91,7 +91,7 @@ def test_quantiles_from_buckets(spark):
 
 
 def test_counters_that_start_anew(spark):
-    rows = [("a", t, v) for t, v in ((0, 5), (10, 9), (70, 2), (80, 2), (130, 7))]
+    rows = [("a", t, v) for t, v in ((0, 5), (10, 9), (70, 2), (80, 2), (130, 7), (131, None), (None, 9))] + [(None, 5, 5)]
     df = spark.createDataFrame(rows, "k string, t bigint, v bigint").withColumn("at", F.timestamp_seconds("t"))
     got = {r["window_us"] // 10**6: (r["increase"], round(r["per_second"], 6)) for r in metrics.counter_increase(df, "at", ["at"], "v", ["k"], "1 minute").collect()}
     assert got == {0: (4, 0.066667), 60: (2, 0.033333), 120: (5, 0.083333)}
@@ -156,6 +156,6 @@ def test_outcomes_and_percentiles_with_hot_keys(spark):
     rows = [("h", "r1", 5), ("h", "r2", 1), ("h", "r2", 2), ("x", None, 3), (None, "r1", 4), ("y", "r1", 6)]
     df = spark.createDataFrame(rows, "k string, rule string, row bigint")
     assert {(r["rule"], r["outcome"]): r["n"] for r in metrics.outcome_counts(df, "k", "rule", "row").collect()} == {("r2", "actioned"): 1, ("r2", "duplicate"): 1, ("r1", "duplicate"): 1, (None, "actioned"): 1, ("r1", "actioned"): 1}
-    values = spark.createDataFrame([("a", v) for v in range(1, 101)] + [("b", None), ("c", -7)], "k string, v bigint")
+    values = spark.createDataFrame([("a", v) for v in range(1, 101)] + [("b", None), ("c", -7), (None, 3), (None, 4), (None, None)], "k string, v bigint")
     got = {r["k"]: tuple(r[1:]) for r in metrics.exact_percentiles(values, ["k"], F.col("v"), 7).collect()}
-    assert got == {"a": (100, 50, 95, 99), "b": (0, None, None, None), "c": (1, -7, -7, -7)}
+    assert got == {"a": (100, 50, 95, 99), "b": (0, None, None, None), "c": (1, -7, -7, -7), None: (2, 3, 4, 4)}

@@ -52,13 +52,13 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: Column, width: floa
     Equal values are combined first; their counts are added up along the values in blocks of `width`, so that neither a value
     nor a key that holds most rows is one task.
     """
-    counts = df.groupBy(*keys, value.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    totals = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))), F.lit(0)).alias("n"))
-    placed = running(counts.filter(F.col("__v").isNotNull()).withColumn("__block", F.floor(F.col("__v") / width)), keys, "__block", ["__v"], {"__upto": "__n"})
-    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
-    joined = totals.alias("t").join(placed.alias("p"), same, "left")
-    found = [F.min(F.when(F.col("p.__upto") >= F.ceil(F.col("t.n") * F.lit(p)), F.col("p.__v"))).alias(f"p{str(p)[2:]}") for p in points]
-    return joined.groupBy(*[F.col(f"t.{k}").alias(k) for k in keys], F.col("t.n").alias("n")).agg(*found)
+    whole = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("__key")  # never null, so that it can be joined
+    counts = df.groupBy(*keys, value.alias("__v")).agg(F.count(F.lit(1)).alias("__n")).select("*", whole)
+    totals = counts.groupBy(*keys, "__key").agg(F.coalesce(F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))), F.lit(0)).alias("n"))
+    present = counts.filter(F.col("__v").isNotNull()).select("__key", "__v", "__n", F.floor(F.col("__v") / width).alias("__block"))
+    joined = totals.join(running(present, ["__key"], "__block", ["__v"], {"__upto": "__n"}), "__key", "left")
+    found = [F.min(F.when(F.col("__upto") >= F.ceil(F.col("n") * F.lit(p)), F.col("__v"))).alias(f"p{str(p)[2:]}") for p in points]
+    return joined.groupBy(*keys, "n").agg(*found)
 
 
 def change_per_window(df: DataFrame, at: str, value: str, keys: list[str], width: str) -> DataFrame:
@@ -102,9 +102,9 @@ def counter_increase(df: DataFrame, at: str, order: list[str], value: str, keys:
 
     A sample below the one before it began at 0 again and counts whole. The step from one window's last sample to the next
     one's first belongs to the later window; a key's first sample adds nothing. Nothing is extrapolated. Windows are the
-    blocks, so that a key with many samples is not one task.
+    blocks, so that a key with many samples is not one task. Rows with a null key, time or value are left out.
     """
-    placed = df.filter(F.col(at).isNotNull() & F.col(value).isNotNull()).withColumn("__window", F.window(at, width))
+    placed = df.dropna(subset=[*keys, at, value]).withColumn("__window", F.window(at, width))
     placed = placed.withColumn("__from", F.unix_micros("__window.start")).withColumn("__width", (F.unix_micros("__window.end") - F.col("__from")) / 1e6)
     stepped = running(placed.drop("__window"), keys, "__from", order, previous={"__prev": [value]})
     now, prev = F.col(value), F.col(f"__prev.{value}")
